@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, mixing, quality, toxicity
+from . import embed_dedup, langid, line_dedup, mixing, ngram_join, quality, toxicity
 from .common import documents
 
 
@@ -23,10 +23,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup_lines(documents(spark, sf_dir)))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -35,5 +43,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_toxicity, op7_quality, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_ngram_jaccard, op4_toxicity, op6_embedding_dedup, op7_quality, op9_mixing)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
