@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at.  A longer text is a step of its own.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 #: Documents in one vectorised step at most (twelve bits of a sort key hold the index).
 SLICE_DOCS = 4096
 
