@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, TextSlice, checkpoint, mix64, prefix_hash, range_hash, text_slices, word_bounds
 from .components import connected_components, forest
+from .packing import PACKED, heads, input_bytes, joined, packed, runs, values
 
 U = np.uint64
 HASH_BITS = 52
@@ -88,26 +89,18 @@ def fingerprints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, out, U(0)).view(np.int64)
 
 
-_PACKED = "key long, kind int, a binary, b binary, c binary, d binary, e binary"
-_PACKED_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abcde")])
 SHARED, DOCS, COLUMNS = 0, 1, 2
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-    arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32())]
-    return pa.RecordBatch.from_arrays([*arrays, *(pa.array([None if x is None else x.tobytes() for x in c], pa.binary()) for c in cols[2:])], schema=_PACKED_ARROW)
-
-
 def _by_owner(owner: np.ndarray, n: np.ndarray, h: np.ndarray, df: np.ndarray, blocks: int) -> list[tuple]:
     """Packed rows (block of the owner; owners, their n, counts, hashes, frequencies) for shared columns."""
     block = (mix64(owner.view(U)) % U(blocks)).astype(np.int64)
     order = np.lexsort((owner, block))
     owner, n, h, df, block = owner[order], n[order], h[order], df[order], block[order]
-    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(owner) else head
+    head = heads(owner)
+    cuts = heads(block)
     rows = []
-    for lo, hi in zip(cuts, [*cuts[1:], len(owner)], strict=True):
+    for lo, hi in runs(cuts, len(owner)):
         x = head[np.searchsorted(head, lo) : np.searchsorted(head, hi)]
         rows.append((int(block[lo]), SHARED, owner[x], n[x].astype(np.uint32), np.diff([*x, hi]).astype(np.uint32), h[lo:hi], df[lo:hi]))
     return rows
@@ -138,7 +131,7 @@ def _deal(bits: int, blocks: int, common: np.ndarray, k: int):
             x = h[lo:hi]
             meta = np.concatenate([n[who].astype(np.uint32), np.diff([*head, hi - lo]).astype(np.uint32)])
             rows.append((int(b), COLUMNS, owner[who], meta, (x & U(0xFFFFFFFF)).astype(np.uint32), (x >> U(32)).astype(np.uint16), None))
-        return _packed(rows)
+        return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,7 +154,7 @@ def _deal(bits: int, blocks: int, common: np.ndarray, k: int):
             held += int(n[first].sum())
             lost = int((~known).sum())
             doc = [((1 << bits) + blocks + int(s.starts[-1]) % blocks, DOCS, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), n.astype(np.uint32), mark, known if lost else None, None)]
-            yield _packed(doc)
+            yield packed(doc)
             if held >= BUFFER:
                 o, c, x = (np.concatenate(z) for z in zip(*kept, strict=True))
                 yield flush(o, c, c, x)
@@ -173,14 +166,6 @@ def _deal(bits: int, blocks: int, common: np.ndarray, k: int):
     return run
 
 
-def _arr(x: pa.Scalar, dtype) -> np.ndarray:
-    return np.frombuffer(x.as_buffer(), dtype)
-
-
-def _join(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.concatenate([_arr(x, dtype) for x in table[name]]) if table.num_rows else np.zeros(0, dtype)
-
-
 def _shared(bits: int, blocks: int):
     """One block of columns: keeps those with more than one row and sends them to the blocks of their owners."""
 
@@ -190,12 +175,12 @@ def _shared(bits: int, blocks: int):
             return table.set_column(0, "key", pa.array([key - (1 << bits)] * table.num_rows, pa.int64()))
         owners, ns, counts = [], [], []
         for a, b in zip(table["a"], table["b"], strict=True):
-            o, m = _arr(a, np.int64), _arr(b, np.uint32)
+            o, m = values(a, np.int64), values(b, np.uint32)
             owners.append(o)
             ns.append(m[: len(o)])
             counts.append(m[len(o) :])
         owner, n, count = (np.concatenate(x) for x in (owners, ns, counts))
-        h = _join(table, "c", np.uint32).astype(U) | (_join(table, "d", np.uint16).astype(U) << U(32))
+        h = joined(table, "c", np.uint32).astype(U) | (joined(table, "d", np.uint16).astype(U) << U(32))
         own = np.repeat(np.arange(len(owner)), count)
         order = np.argsort(h)
         h, own = h[order], own[order]
@@ -210,12 +195,12 @@ def _shared(bits: int, blocks: int):
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
         h, own, o = h[once], own[once], o[once]
-        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        head = heads(h)
         size = np.diff([*head, len(h)])
         df = np.repeat(np.minimum(size, 65534).astype(np.uint16), size)
         ok = df > 1
         full = h[ok] | (U(key) << U(HASH_BITS - bits))
-        return pa.Table.from_batches([_packed(_by_owner(o[ok], n[own[ok]], full, df[ok], blocks))])
+        return pa.Table.from_batches([packed(_by_owner(o[ok], n[own[ok]], full, df[ok], blocks))])
 
     return run
 
@@ -229,12 +214,12 @@ def _survivors(blocks: int, percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         if table["key"][0].as_py() >= blocks:
-            ids, n, mark = _join(table, "a", np.int64), _join(table, "b", np.uint32), _join(table, "c", np.int64)
-            known = np.concatenate([_arr(d, bool) if d.is_valid else np.ones(len(_arr(a, np.int64)), bool) for a, d in zip(table["a"], table["d"], strict=True)])
+            ids, n, mark = joined(table, "a", np.int64), joined(table, "b", np.uint32), joined(table, "c", np.int64)
+            known = np.concatenate([values(d, bool) if d.is_valid else np.ones(len(values(a, np.int64)), bool) for a, d in zip(table["a"], table["d"], strict=True)])
             none = pa.nulls(len(ids), pa.binary())
             return pa.Table.from_arrays([pa.array(ids, mask=~known), pa.array(n.astype(np.int64)), pa.array(mark), none, none], schema=schema)
-        owner, n, count = _join(table, "a", np.int64), _join(table, "b", np.uint32), _join(table, "c", np.uint32)
-        h, df = _join(table, "d", np.uint64), _join(table, "e", np.uint16)
+        owner, n, count = joined(table, "a", np.int64), joined(table, "b", np.uint32), joined(table, "c", np.uint32)
+        h, df = joined(table, "d", np.uint64), joined(table, "e", np.uint16)
         row = np.repeat(np.arange(len(owner)), count)
         o = owner[row]
         order = np.lexsort((h, o))
@@ -242,7 +227,7 @@ def _survivors(blocks: int, percent: int):
         once = np.ones(len(h), bool)
         once[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
         o, h, df, row = o[once], h[once], df[once], row[once]
-        head = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+        head = heads(o)
         size = np.diff([*head, len(o)])
         full = n[row[head]].astype(np.int64)
         out = [(None, int(full[i]), int(o[head[i]]), h[head[i] : head[i] + size[i]].tobytes(), df[head[i] : head[i] + size[i]].tobytes()) for i in np.flatnonzero(size >= need(full, percent))]
@@ -255,7 +240,7 @@ def _rarest(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray
     """(column, mark) of the columns by which each row must meet any row that it links with."""
     hs, ms = [], []
     for n, mark, c, f in zip(batch.column("n"), batch.column("mark"), batch.column("columns"), batch.column("frequencies"), strict=True):
-        h, df = _arr(c, np.uint64), _arr(f, np.uint16)
+        h, df = values(c, np.uint64), values(f, np.uint16)
         n = n.as_py()
         take = n - need(n, percent) + 1 - (n - len(h))  # columns of its own come first and meet nothing
         hs.append(h[np.lexsort((h, df))[: max(0, take)]])
@@ -285,7 +270,7 @@ def _candidates(bits: int, blocks: int, percent: int):
             block = (h >> U(HASH_BITS - bits)).astype(np.int64)
             cuts = np.searchsorted(block, np.arange((1 << bits) + 1))
             rows += [(int(k), COLUMNS, m[cuts[k] : cuts[k + 1]], h[cuts[k] : cuts[k + 1]], None, None, None) for k in np.flatnonzero(np.diff(cuts))]
-            yield _packed(rows)
+            yield packed(rows)
 
     return run
 
@@ -300,8 +285,8 @@ def _links(a: np.ndarray, b: np.ndarray) -> pa.Table:
 def _meet(bits: int):
     def run(table: pa.Table) -> pa.Table:
         if table["key"][0].as_py() >= 1 << bits:
-            return _links(_join(table, "a", np.int64), _join(table, "b", np.int64))
-        _, _, a, b = _stars(_join(table, "b", np.uint64), _join(table, "a", np.int64))
+            return _links(joined(table, "a", np.int64), joined(table, "b", np.int64))
+        _, _, a, b = _stars(joined(table, "b", np.uint64), joined(table, "a", np.int64))
         return _links(a, b)
 
     return run
@@ -364,12 +349,12 @@ def _verify(percent: int):
         once = np.ones(len(order), bool)
         once[1:] = (mark[order][1:] != mark[order][:-1]) | (comp[order][1:] != comp[order][:-1])
         order = order[once]
-        cuts = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1]]))
+        cuts = heads(comp[order])
         columns, a, b = table["columns"], [], []
-        for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for lo, hi in runs(cuts, len(order)):
             if hi - lo > 1:
                 x = order[lo:hi]
-                i, j = link_group([_arr(columns[int(k)], np.uint64) for k in x], n[x], percent)
+                i, j = link_group([values(columns[int(k)], np.uint64) for k in x], n[x], percent)
                 a.append(mark[x][i])
                 b.append(mark[x][j])
         none = [np.zeros(0, np.int64)]
@@ -393,12 +378,6 @@ def common_columns(docs: DataFrame, k: int) -> np.ndarray:
     return h[count >= SAMPLE_HITS]
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of `df`; 0 if it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
-
-
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; 100 * overlap >= percent * union links two documents.
 
@@ -411,11 +390,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs) / BLOCK_BYTES))), MIN_BITS, MAX_BITS))
     blocks = 1 << bits
-    dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k), k), _PACKED)
-    shared = dealt.groupBy("key").applyInArrow(_shared(bits, blocks), _PACKED)
+    dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k), k), PACKED)
+    shared = dealt.groupBy("key").applyInArrow(_shared(bits, blocks), PACKED)
     rows = checkpoint(shared.groupBy("key").applyInArrow(_survivors(blocks, percent), _ROWS))
     sets = rows.where("columns IS NOT NULL").select("n", "mark", "columns", "frequencies")
-    meet = sets.mapInArrow(_candidates(bits, blocks, percent), _PACKED).groupBy("key").applyInArrow(_meet(bits), "a long, b long")
+    meet = sets.mapInArrow(_candidates(bits, blocks, percent), PACKED).groupBy("key").applyInArrow(_meet(bits), "a long, b long")
     groups = checkpoint(connected_components(meet))
     sizes = groups.groupBy("component").agg(F.count("*").alias("rows"))
     total = groups.count()
