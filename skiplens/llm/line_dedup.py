@@ -25,12 +25,13 @@ def _hash(key: Column) -> Column:
     return F.unhex(F.md5(key.cast("binary")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: bool = False) -> DataFrame:
     """Drops lines whose key has `min_chars` code points or more and stands in `min_docs` documents or more.
 
     The document with the largest id that holds such a line keeps all its copies
-    of it.  Returns one row per input row: ``doc_id, text, n_lines, n_dropped``;
-    other input columns are ignored, so their names can't clash.
+    of it.  Returns one row per input row: ``doc_id, text, n_lines, n_dropped``,
+    and with `carry` the whole input row as the struct ``row``; other input
+    columns are ignored, so their names can't clash.
 
     * null or empty text: one empty line, kept; the text returned is ''.
     * a text all of whose lines go becomes ''.
@@ -38,7 +39,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * rows that repeat an id count as one document and lose the same lines.
     * empty table: empty result.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
     lines = F.split(F.col("text"), "\n", -1)
     keys = F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), line_key)
     hashes = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), _hash))
@@ -48,8 +50,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = drops.groupBy("doc_id").agg(F.collect_list("h").alias("drops"))
     lose = lambda x: (F.length(x) >= min_chars) & F.array_contains(F.col("drops"), _hash(line_key(x)))
     kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~lose(x)))
-    out = d.join(drops, "doc_id", "left").select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"))
+    out = d.join(drops, "doc_id", "left").select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"), *["row"] * carry)
+    return out.select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), *["row"] * carry)
 
 
 def digest(result: DataFrame) -> DataFrame:

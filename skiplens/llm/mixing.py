@@ -85,6 +85,28 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return left.select("b_source", (F.col("base") + take.cast("long")).alias("threshold"))
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """60 bits from the id and, so that different rows that repeat an id differ, the length of the text."""
+    name = F.concat_ws(":", F.col(id_col).cast("string"), F.length(text_col).cast("string"))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, source, size, hash) of each row, (p_source, source_size, target, whole, threshold) of each source)."""
+    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(F.col(text_col)).alias("size"), row_hash(id_col, text_col).alias("hash")))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # a hair below a whole number counts as that number
+    targets = source_targets(rows, weights, share, cap).withColumn("whole", F.floor(ratio + 1e-12))
+    targets = checkpoint(targets.withColumn("extra", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))))
+    cuts = thresholds(rows, targets)
+    plan = targets.join(cuts, _same("source", "b_source"), "left").select(F.col("source").alias("p_source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    return rows, checkpoint(plan)
+
+
+def _copies(h: Column) -> Column:
+    return (F.col("whole") + (h < F.col("threshold")).cast("long")).cast("long")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """How often the mix takes each document: ``doc_id, source, size, source_size, target, copies, taken``.
 
@@ -92,26 +114,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     * null text has size 0; a document of size 0 is counted as taken by its hash and adds no words.
     * null source is a source of its own, last in the order; a null id has a hash like any other.
-    * rows with equal id and text share a hash and are taken or left together.
+    * rows with equal id and length share a hash and are taken or left together.
     * a source of size 0 has target 0 and takes nothing; empty table: empty result.
     """
-    text = F.col(text_col)
-    # the length is in the hash, so that different rows that repeat an id differ
-    name = F.concat_ws(":", F.col(id_col).cast("string"), F.length(text).cast("string"))
-    hashed = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_size(text).alias("size"), hashed.alias("hash")))
-    targets = source_targets(rows, weights, share, cap)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    # a hair below a whole number counts as that number
-    targets = targets.withColumn("whole", F.floor(ratio + 1e-12)).withColumn("extra", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    targets = checkpoint(targets)
-    cuts = thresholds(rows, targets)
-    plan = targets.join(cuts, _same("source", "b_source"), "left").select(F.col("source").alias("p_source"), "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).alias("threshold"))
-    copies = (F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")).cast("long")
-    out = rows.join(few(checkpoint(plan)), _same("source", "p_source")).withColumn("copies", copies)
+    rows, plan = _planned(docs, id_col, text_col, source_col, weights, share, cap)
+    out = rows.join(few(plan), _same("source", "p_source")).withColumn("copies", _copies(F.col("hash")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: the rows of `docs`, with all their columns, as often as mix_sources() takes them."""
+    _, plan = _planned(docs, id_col, text_col, source_col, weights, share, cap)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source_col).alias("source"), row_hash(id_col, text_col).alias("hash"))
+    out = row.join(few(plan), _same("source", "p_source")).withColumn("copies", _copies(F.col("hash"))).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
   ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, length(text)::VARCHAR)), 1, 15))::BIGINT AS hash FROM documents),

@@ -166,6 +166,18 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double, predicted int, offending array<struct<start:bigint,end:bigint,p:double>>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score is below the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = np.unpackbits(model.sieve).astype(bool)
+        for s in text_slices(batches, text_col, transform=_lower):
+            p, _, _ = model.score(s, sieve)
+            yield s.batch.slice(s.lo, len(s)).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def detect(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The query: learns labels outside the held-out fold, scores all rows."""
     fold = held_out(F.col("doc_id"), 4, 2)
