@@ -61,7 +61,7 @@ class Anchors:
         none = np.zeros(0, np.int64)
         self.lo, self.hi, self.at, gram = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none.astype(U))
         self.doc = np.searchsorted(starts, self.lo, side="right") - 1
-        self.gram = gram
+        self.gram = mix64(gram)  # anchors are small hashes: mixed again they spread over all blocks
         shape = ((self.at - self.lo) * GRAMS + self.hi - self.lo).astype(U)
         self.context = mix64(range_hash(self.prefix, self.lo, self.hi + LENGTH) + shape * U(0x9E3779B97F4A7C15)) >> U(16)
 
