@@ -6,6 +6,7 @@ UTF-8 bytes of many documents at once and never builds Python strings.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -46,6 +47,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    The cleaner only acts when the driver's JVM collects garbage, which a small
+    driver heap may not do for hours; until then the executors' disks fill up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows up to which a checked table of totals is broadcast; beyond, the join shuffles and AQE splits hot keys.
 FEW_ROWS = 20_000
 

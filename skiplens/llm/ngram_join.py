@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextSlice, checkpoint, mix64, prefix_hash, range_hash, text_slices, word_bounds
+from .common import LOWER, SPACE, TextSlice, checkpoint, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
 from .components import connected_components, forest
 from .packing import PACKED, heads, input_bytes, joined, packed, runs, values
 
@@ -393,6 +393,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k), k), PACKED)
     shared = dealt.groupBy("key").applyInArrow(_shared(bits, blocks), PACKED)
     rows = checkpoint(shared.groupBy("key").applyInArrow(_survivors(blocks, percent), _ROWS))
+    del dealt, shared
+    release(docs.sparkSession)
     sets = rows.where("columns IS NOT NULL").select("n", "mark", "columns", "frequencies")
     meet = sets.mapInArrow(_candidates(bits, blocks, percent), PACKED).groupBy("key").applyInArrow(_meet(bits), "a long, b long")
     groups = checkpoint(connected_components(meet))

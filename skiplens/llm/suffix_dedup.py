@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, few, mix64, prefix_hash, range_hash, text_slices
+from .common import checkpoint, few, mix64, prefix_hash, range_hash, release, text_slices
 from .packing import PACKED, heads, input_bytes, joined, packed, runs, values
 
 U = np.uint64
@@ -455,10 +455,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs) / BLOCK_BYTES))), MIN_BITS, MAX_BITS))
     compared = d.mapInArrow(_deal(bits), PACKED).groupBy("key").applyInArrow(_compare_contexts(bits), PACKED)
     answers = checkpoint(compared.groupBy("key").applyInArrow(_answers, _ANSWERS))
+    del compared
+    release(docs.sparkSession)
     asked = answers.where("need IS NOT NULL OR hot IS NOT NULL").select("id", "need", "hot")
     sent = d.join(few(asked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "need", "hot").mapInArrow(_send_contexts(bits), PACKED)
     windows = sent.groupBy("key").applyInArrow(_sort_windows(bits), PACKED)
-    masks = windows.groupBy("key").applyInArrow(_masks, _MASKS)
+    masks = checkpoint(windows.groupBy("key").applyInArrow(_masks, _MASKS))
+    del sent, windows
+    release(docs.sparkSession)
     covered = answers.where("covered IS NOT NULL").select("id", "covered")
     told = covered.join(masks, "id", "full")
     out = d.join(told, F.col("doc_id") == F.col("id"), "left")
