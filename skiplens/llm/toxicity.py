@@ -21,7 +21,7 @@ from .common import TextSlice, held_out, mix64, prefix_hash, range_hash, sigmoid
 from .labelled import labelled_sample
 
 #: Bounds of the training sample: labelled documents, and characters of one (longer ones aren't learned from).
-TRAIN_ROWS, TRAIN_CHARS = 6_000, 60_000
+TRAIN_ROWS, TRAIN_CHARS = 4_000, 60_000
 #: Features kept, the fewest toxic documents and the least z-score of one.
 MAX_FEATURES, MIN_DOCS, MIN_Z = 4_096, 3, 2.5
 #: Word beginnings in bytes that are features beside whole words.
@@ -90,33 +90,50 @@ class Model:
         return -np.expm1(-none), (first, last, doc), z
 
 
+def _document_counts(slices: list[TextSlice], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, toxic documents, other documents with each), merged slice by slice."""
+    h, counts, docs = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), 0
+    for s in slices:
+        at, f = features(s)
+        order = np.argsort(f, kind="stable")
+        f, doc = f[order], np.searchsorted(s.starts, at[order], side="right") - 1
+        order = np.lexsort((doc, f))
+        f, doc = f[order], doc[order]
+        once = np.ones(len(f), bool)
+        once[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
+        f, toxic = f[once], labels[docs + doc[once]] > 0
+        new, inv = np.unique(f, return_inverse=True)
+        here = np.stack([np.bincount(inv[toxic], minlength=len(new)), np.bincount(inv[~toxic], minlength=len(new))], axis=1)
+        both, inv = np.unique(np.concatenate([h, new]), return_inverse=True)
+        total = np.zeros((len(both), 2), np.int64)
+        np.add.at(total, inv, np.concatenate([counts, here]))
+        h, counts, docs = both, total, docs + len(s)
+    return h, counts[:, 0], counts[:, 1]
+
+
 def train(slices: list[TextSlice], labels: np.ndarray) -> Model:
     """`labels`: of the documents of all slices in order.  Without both classes every score is the bias's."""
-    sent_doc, sent_of, feat, base, docs = [], [], [], 0, 0
-    for s in slices:
-        first, _, doc = sentences(s)
-        at, h = features(s)
-        sent_doc.append(doc + docs)
-        sent_of.append(np.searchsorted(first, at, side="right") - 1 + base)
-        feat.append(h)
-        base, docs = base + len(first), docs + len(s)
+    docs = sum(map(len, slices))
     if not docs or not 0 < labels.sum() < docs:
         return Model.of(np.zeros(0, np.uint64), np.zeros(0), -12.0)
-    sent_doc, sent_of, feat = np.concatenate(sent_doc), np.concatenate(sent_of), np.concatenate(feat)
-    # document counts of each feature in both classes
-    h, inv = np.unique(feat, return_inverse=True)
-    pair = np.unique(inv.astype(np.int64) * docs + sent_doc[sent_of])
-    toxic = labels[pair % docs] > 0
-    a, b = np.bincount(pair[toxic] // docs, minlength=len(h)), np.bincount(pair[~toxic] // docs, minlength=len(h))
+    h, a, b = _document_counts(slices, labels)
     pos, neg = labels.sum(), docs - labels.sum()
     odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
     z = np.where(a >= MIN_DOCS, odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), 0)
     keep = np.flatnonzero(z >= MIN_Z)
-    keep = keep[np.argsort(-z[keep], kind="stable")][:MAX_FEATURES]
-    place = np.full(len(h), -1)
-    place[keep] = np.arange(len(keep))
-    on = place[inv] >= 0
-    rows, cols = sent_of[on], place[inv][on]
+    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")][:MAX_FEATURES])
+    sent_doc, rows, cols, base, docs = [], [], [], 0, 0
+    known = h[keep]
+    for s in slices:
+        first, _, doc = sentences(s)
+        at, f = features(s)
+        k = np.minimum(np.searchsorted(known, f), max(0, len(known) - 1))
+        on = known[k] == f if len(known) else np.zeros(len(f), bool)
+        rows.append(np.searchsorted(first, at[on], side="right") - 1 + base)
+        cols.append(k[on])
+        sent_doc.append(doc + docs)
+        base, docs = base + len(first), docs + len(s)
+    sent_doc, rows, cols = np.concatenate(sent_doc), np.concatenate(rows), np.concatenate(cols)
     w, bias = np.clip(odds[keep], 0, 4), -8.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     y = labels[np.arange(docs)] > 0
