@@ -42,7 +42,7 @@ SAMPLE_DOCS, SAMPLE_HITS = 2_000, 8
 #: Rows of a group that one task looks at (twice as many for a pair of blocks).
 GROUP_ROWS = 1_500
 #: Shingles buffered by a task before they are dealt.
-BUFFER = 1_000_000
+BUFFER = 500_000
 
 
 def need(n, percent: int):
