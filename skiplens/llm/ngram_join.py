@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextSlice, checkpoint, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
+from .common import LOWER, SPACE, TextSlice, checkpoint, lean, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
 from .components import connected_components, forest
 from .packing import PACKED, heads, input_bytes, joined, packed, runs, values
 
@@ -391,12 +391,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs) / BLOCK_BYTES))), MIN_BITS, MAX_BITS))
     blocks = 1 << bits
     dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k), k), PACKED)
-    shared = dealt.groupBy("key").applyInArrow(_shared(bits, blocks), PACKED)
-    rows = checkpoint(shared.groupBy("key").applyInArrow(_survivors(blocks, percent), _ROWS))
+    shared = dealt.groupBy("key").applyInArrow(lean(_shared(bits, blocks)), PACKED)
+    rows = checkpoint(shared.groupBy("key").applyInArrow(lean(_survivors(blocks, percent)), _ROWS))
     del dealt, shared
     release(docs.sparkSession)
     sets = rows.where("columns IS NOT NULL").select("n", "mark", "columns", "frequencies")
-    meet = sets.mapInArrow(_candidates(bits, blocks, percent), PACKED).groupBy("key").applyInArrow(_meet(bits), "a long, b long")
+    meet = sets.mapInArrow(_candidates(bits, blocks, percent), PACKED).groupBy("key").applyInArrow(lean(_meet(bits)), "a long, b long")
     groups = checkpoint(connected_components(meet))
     sizes = groups.groupBy("component").agg(F.count("*").alias("rows"))
     total = groups.count()
@@ -406,7 +406,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     groups = groups.withColumn("shard", shard).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     task = F.when(F.col("shards") == 1, F.pmod(F.xxhash64("component"), F.lit(many))).otherwise(F.xxhash64("component", F.least("shard", "other"), F.greatest("shard", "other")))
     work = sets.select("n", "mark", "columns").join(groups.select(F.col("vertex").alias("mark"), "component", task.alias("task")), "mark")
-    links = work.groupBy("task").applyInArrow(_verify(percent), "a long, b long")
+    links = work.groupBy("task").applyInArrow(lean(_verify(percent)), "a long, b long")
     linked = connected_components(links).select(F.col("vertex").alias("mark"), "component")
     docs_ = rows.where("columns IS NULL").select("doc_id", "n", "mark")
     classes = docs_.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
