@@ -16,18 +16,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import give_back, text_slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks that a worker remembers, and characters of new chunks that are indexed at once.
-MEMORY, BATCH_CHARS = 300_000, 400_000
+MEMORY, BATCH_CHARS = 200_000, 150_000
+#: Characters above which a text is cut into chunks part by part, and chunks of a part.
+LONG_CHARS, PART_CHUNKS = 200_000, 25_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -244,9 +247,12 @@ class Codec:
         self.matcher, self.vocab, self.known = Matcher(vocab), vocab, {}
         self.cut = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
+    def _marked(self, text: str) -> str:
+        return (MARK if self.vocab.prefix else "") + text.replace(" ", MARK)
+
     def chunks(self, text: str) -> list[str]:
         """Pieces never cross from other characters to a mark, nor a line end (which is in no piece)."""
-        return self.cut.findall((MARK if self.vocab.prefix else "") + text.replace(" ", MARK)) if text else []
+        return self.cut.findall(self._marked(text)) if text else []
 
     def learn(self, chunks: set[str]) -> None:
         if len(self.known) + len(chunks) > MEMORY:
@@ -259,9 +265,21 @@ class Codec:
                 self.known.update(zip(todo, (x.tobytes() for x in self.matcher.segment(todo)), strict=True))
                 todo, held = [], 0
         self.known.update(zip(todo, (x.tobytes() for x in self.matcher.segment(todo)), strict=True))
+        if len(chunks) > 10_000:
+            give_back()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.chunks(t) for t in texts]
+        out = self._encode([self.chunks(t) if len(t) <= LONG_CHARS else [] for t in texts])
+        for i, t in enumerate(texts):
+            if len(t) > LONG_CHARS:
+                found = self.cut.finditer(self._marked(t))
+                parts = []
+                while part := [m.group() for m in islice(found, PART_CHUNKS)]:
+                    parts += self._encode([part])
+                out[i] = np.concatenate(parts)
+        return out
+
+    def _encode(self, cut: list[list[str]]) -> list[np.ndarray]:
         need = set().union(*cut) if cut else set()
         fresh = need - self.known.keys()
         if len(self.known) + len(fresh) > MEMORY:
