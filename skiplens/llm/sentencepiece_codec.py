@@ -28,7 +28,7 @@ from .common import give_back, text_slices
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks that a worker remembers, and characters of new chunks that are indexed at once.
-MEMORY, BATCH_CHARS = 200_000, 150_000
+MEMORY, BATCH_CHARS = 300_000, 150_000
 #: Characters above which a text is cut into chunks part by part, and chunks of a part.
 LONG_CHARS, PART_CHUNKS = 200_000, 25_000
 UNIGRAM, BPE = 1, 2
@@ -243,8 +243,8 @@ class Matcher:
 class Codec:
     """Encodes with a bounded memory of chunks; a worker keeps one for each vocabulary."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.matcher, self.vocab, self.known = Matcher(vocab), vocab, {}
+    def __init__(self, vocab: Vocabulary, memory: int = MEMORY):
+        self.matcher, self.vocab, self.known, self.memory = Matcher(vocab), vocab, {}, memory
         self.cut = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
     def _marked(self, text: str) -> str:
@@ -255,7 +255,7 @@ class Codec:
         return self.cut.findall(self._marked(text)) if text else []
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > MEMORY:
+        if len(self.known) + len(chunks) > self.memory:
             self.known.clear()
         todo, held = [], 0
         for c in sorted(chunks, key=len):  # of like length, so that all end after as many rounds
@@ -282,7 +282,7 @@ class Codec:
     def _encode(self, cut: list[list[str]]) -> list[np.ndarray]:
         need = set().union(*cut) if cut else set()
         fresh = need - self.known.keys()
-        if len(self.known) + len(fresh) > MEMORY:
+        if len(self.known) + len(fresh) > self.memory:
             fresh = need
         if fresh:
             self.learn(fresh)
@@ -297,17 +297,19 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(vocab: Vocabulary) -> Codec:
-    key = (vocab.kind, len(vocab.pieces), hash(tuple(vocab.pieces)))
+def codec(vocab: Vocabulary, memory: int = MEMORY) -> Codec:
+    key = (vocab.kind, len(vocab.pieces), hash(tuple(vocab.pieces)), memory)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(vocab)
+        _CODECS[key] = Codec(vocab, memory)
     return _CODECS[key]
 
 
-def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, memory: int = MEMORY) -> DataFrame:
     """``doc_id, ids`` and, if asked for, ``decoded`` for each row: the ids of its whole text, and these decoded again.
 
+    `memory` bounds the chunks that a worker remembers; it changes the time taken, never the ids.
+
     * null text: counts as empty, no ids and ''.
     * characters in no piece become byte pieces, or the unknown piece if the model has none.
     * null ids are passed on; repeated rows get equal ids; other columns are ignored.
@@ -315,7 +317,7 @@ def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocab)
+        c = codec(vocab, memory)
         for s in text_slices(batches):
             ids = c.encode(s.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
