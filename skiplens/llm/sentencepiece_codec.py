@@ -28,7 +28,9 @@ from .common import give_back, text_slices
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks that a worker remembers, and characters of new chunks that are indexed at once.
-MEMORY, BATCH_CHARS = 300_000, 150_000
+MEMORY, BATCH_CHARS = 300_000, 400_000
+#: The same for a worker that shares its executor with other stages: slower, and it gives memory back as it learns.
+LEAN_MEMORY, LEAN_CHARS = 200_000, 150_000
 #: Characters above which a text is cut into chunks part by part, and chunks of a part.
 LONG_CHARS, PART_CHUNKS = 200_000, 25_000
 UNIGRAM, BPE = 1, 2
@@ -243,8 +245,9 @@ class Matcher:
 class Codec:
     """Encodes with a bounded memory of chunks; a worker keeps one for each vocabulary."""
 
-    def __init__(self, vocab: Vocabulary, memory: int = MEMORY):
-        self.matcher, self.vocab, self.known, self.memory = Matcher(vocab), vocab, {}, memory
+    def __init__(self, vocab: Vocabulary, lean: bool = False):
+        self.matcher, self.vocab, self.known, self.lean = Matcher(vocab), vocab, {}, lean
+        self.memory, self.batch = (LEAN_MEMORY, LEAN_CHARS) if lean else (MEMORY, BATCH_CHARS)
         self.cut = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
     def _marked(self, text: str) -> str:
@@ -261,11 +264,11 @@ class Codec:
         for c in sorted(chunks, key=len):  # of like length, so that all end after as many rounds
             todo.append(c)
             held += len(c) + 1
-            if held >= BATCH_CHARS:
+            if held >= self.batch:
                 self.known.update(zip(todo, (x.tobytes() for x in self.matcher.segment(todo)), strict=True))
                 todo, held = [], 0
         self.known.update(zip(todo, (x.tobytes() for x in self.matcher.segment(todo)), strict=True))
-        if len(chunks) > 10_000:
+        if self.lean and len(chunks) > 10_000:
             give_back()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -297,18 +300,18 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(vocab: Vocabulary, memory: int = MEMORY) -> Codec:
-    key = (vocab.kind, len(vocab.pieces), hash(tuple(vocab.pieces)), memory)
+def codec(vocab: Vocabulary, lean: bool = False) -> Codec:
+    key = (vocab.kind, len(vocab.pieces), hash(tuple(vocab.pieces)), lean)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(vocab, memory)
+        _CODECS[key] = Codec(vocab, lean)
     return _CODECS[key]
 
 
-def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, memory: int = MEMORY) -> DataFrame:
+def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, lean: bool = False) -> DataFrame:
     """``doc_id, ids`` and, if asked for, ``decoded`` for each row: the ids of its whole text, and these decoded again.
 
-    `memory` bounds the chunks that a worker remembers; it changes the time taken, never the ids.
+    `lean` workers hold less and take longer; the ids are the same.
 
     * null text: counts as empty, no ids and ''.
     * characters in no piece become byte pieces, or the unknown piece if the model has none.
@@ -317,7 +320,7 @@ def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocab, memory)
+        c = codec(vocab, lean)
         for s in text_slices(batches):
             ids = c.encode(s.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
