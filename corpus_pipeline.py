@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of each document that is left."""
-    out = sentencepiece_codec.encode_texts(docs, sentencepiece_codec.Vocabulary.load(), decode=False, memory=200_000)
+    out = sentencepiece_codec.encode_texts(docs, sentencepiece_codec.Vocabulary.load(), decode=False, lean=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
