@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 Texts are cut into chunks that no piece can cross (a run of word marks and
-what follows).  The distinct new chunks of a batch are concatenated and all
+the letters, digit or other characters that follow, as far as the pieces
+allow).  The distinct new chunks of a batch are concatenated and all
 their suffixes sorted, every piece of the vocabulary finds its range of
 occurrences by binary search, and the resulting edges, sorted by position, are
 relaxed: for unigram models to the path of the best total score, for BPE
@@ -34,6 +35,21 @@ LEAN_MEMORY, LEAN_CHARS = 200_000, 150_000
 #: Characters above which a text is cut into chunks part by part, and chunks of a part.
 LONG_CHARS, PART_CHUNKS = 200_000, 25_000
 UNIGRAM, BPE = 1, 2
+#: Ways to cut texts into chunks, the finest first.  Each cuts between two characters by these two alone,
+#: so no piece crosses chunks if each piece by itself is one chunk.
+_LETTERS, _OTHER = "[^\\W\\d_²³¹¼-¾⁰-₉]+", f"(?:[^\\w{MARK}\n]|[_²³¹¼-¾⁰-₉])+"
+CUTS = (
+    f"\n|{MARK}*{_LETTERS}|{MARK}*\\d|{MARK}*{_OTHER}|{MARK}+",
+    f"\n|{MARK}*{_LETTERS}|{MARK}*\\d+|{MARK}*{_OTHER}|{MARK}+",
+    f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+",
+)
+
+
+def finest_cut(pieces: list[str]) -> re.Pattern:
+    for cut in map(re.compile, CUTS):
+        if all(len(cut.findall(t)) == 1 for t in pieces):
+            return cut
+    raise ValueError("pieces across words or lines are not supported")
 
 
 @dataclass
@@ -81,8 +97,7 @@ class Matcher:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        if any(re.search(f"[^{MARK}]{MARK}", t) for _, t, _ in vocab.pieces):
-            raise ValueError("pieces across words are not supported")
+        self.cut = finest_cut([t for _, t, _ in vocab.pieces])
         chars = sorted({c for _, t, _ in vocab.pieces for c in t})
         self.char = np.zeros(0x110000, np.uint16)  # 0: in no piece
         self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -248,13 +263,12 @@ class Codec:
     def __init__(self, vocab: Vocabulary, lean: bool = False):
         self.matcher, self.vocab, self.known, self.lean = Matcher(vocab), vocab, {}, lean
         self.memory, self.batch = (LEAN_MEMORY, LEAN_CHARS) if lean else (MEMORY, BATCH_CHARS)
-        self.cut = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+        self.cut = self.matcher.cut
 
     def _marked(self, text: str) -> str:
         return (MARK if self.vocab.prefix else "") + text.replace(" ", MARK)
 
     def chunks(self, text: str) -> list[str]:
-        """Pieces never cross from other characters to a mark, nor a line end (which is in no piece)."""
         return self.cut.findall(self._marked(text)) if text else []
 
     def learn(self, chunks: set[str]) -> None:
