@@ -15,7 +15,7 @@ The vocabulary comes from a model file, read once on the driver.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -29,7 +29,7 @@ from .common import give_back, text_slices
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks that a worker remembers, and characters of new chunks that are indexed at once.
-MEMORY, BATCH_CHARS = 300_000, 400_000
+MEMORY, BATCH_CHARS = 600_000, 400_000
 #: The same for a worker that shares its executor with other stages: slower, and it gives memory back as it learns.
 LEAN_MEMORY, LEAN_CHARS = 200_000, 150_000
 #: Characters above which a text is cut into chunks part by part, and chunks of a part.
@@ -258,10 +258,15 @@ class Matcher:
 
 
 class Codec:
-    """Encodes with a bounded memory of chunks; a worker keeps one for each vocabulary."""
+    """Encodes with a bounded memory of chunks; a worker keeps one for each vocabulary.
+
+    The memory has two halves: when the newer one is full, it becomes the older
+    one, and what is used again moves over.
+    """
 
     def __init__(self, vocab: Vocabulary, lean: bool = False):
         self.matcher, self.vocab, self.known, self.lean = Matcher(vocab), vocab, {}, lean
+        self.old: dict[str, bytes] = {}
         self.memory, self.batch = (LEAN_MEMORY, LEAN_CHARS) if lean else (MEMORY, BATCH_CHARS)
         self.cut = self.matcher.cut
 
@@ -271,11 +276,10 @@ class Codec:
     def chunks(self, text: str) -> list[str]:
         return self.cut.findall(self._marked(text)) if text else []
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > self.memory:
-            self.known.clear()
+    def learn(self, chunks: Iterable[str]) -> None:
         todo, held = [], 0
-        for c in sorted(chunks, key=len):  # of like length, so that all end after as many rounds
+        chunks = sorted(chunks, key=len)  # of like length, so that all end after as many rounds
+        for c in chunks:
             todo.append(c)
             held += len(c) + 1
             if held >= self.batch:
@@ -298,11 +302,14 @@ class Codec:
 
     def _encode(self, cut: list[list[str]]) -> list[np.ndarray]:
         need = set().union(*cut) if cut else set()
-        fresh = need - self.known.keys()
-        if len(self.known) + len(fresh) > self.memory:
-            fresh = need
+        fresh = need.difference(self.known)
+        if len(self.known) + len(fresh) > self.memory // 2:
+            self.known, self.old, fresh = {}, self.known, need
         if fresh:
-            self.learn(fresh)
+            old = self.old
+            back = {w: old[w] for w in fresh if w in old}
+            self.known.update(back)
+            self.learn(fresh.difference(back))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
 
