@@ -103,39 +103,62 @@ class Matcher:
         self.char[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         order = sorted(vocab.pieces, key=lambda p: (-p[2], p[0]))
         rank = {p[0]: r for r, p in enumerate(order)}
-        self.ids = np.array([p[0] for p in vocab.pieces], np.int32)
-        self.rank = np.array([rank[p[0]] for p in vocab.pieces], np.int64)
-        self.score = np.array([p[2] for p in vocab.pieces])
-        self.length = np.array([len(p[1]) for p in vocab.pieces], np.int64)
-        self.width = int(-(-self.length.max(initial=1) // 4) * 4)
+        self.width = int(-(-max((len(p[1]) for p in vocab.pieces), default=1) // 8) * 8)
         flat = np.zeros((len(vocab.pieces), self.width), np.uint16)
         for i, (_, t, _) in enumerate(vocab.pieces):
             flat[i, : len(t)] = self.char[[ord(c) for c in t]]
-        self.low = self._keys(flat)
-        top = flat.copy()
-        top[np.arange(self.width) >= self.length[:, None]] = 0xFFFF
-        self.high = self._keys(top)
-        self.single = {t: i for i, t, _ in vocab.pieces if len(t) == 1}
+        by = np.lexsort(flat.T[::-1])
+        self.flat = flat[by]
+        pieces = [vocab.pieces[i] for i in by]
+        self.ids = np.array([p[0] for p in pieces], np.int32)
+        self.rank = np.array([rank[p[0]] for p in pieces], np.int64)
+        self.score = np.array([p[2] for p in pieces])
+        self.length = np.array([len(p[1]) for p in pieces], np.int64)
 
     @staticmethod
-    def _keys(rows: np.ndarray) -> list[np.ndarray]:
-        """Rows of characters as 64-bit words of four, most significant first."""
-        r = rows.astype(np.uint64)
-        return [r[:, k] << np.uint64(48) | r[:, k + 1] << np.uint64(32) | r[:, k + 2] << np.uint64(16) | r[:, k + 3] for k in range(0, rows.shape[1], 4)]
-
-    def suffixes(self, text: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(positions in order of their suffixes up to the longest piece, the sorted keys)."""
-        pad = np.concatenate([text, np.zeros(self.width, np.uint16)]).astype(np.uint64)
-        n = len(text)
-        word = pad[: n + self.width - 3] << np.uint64(48) | pad[1 : n + self.width - 2] << np.uint64(32) | pad[2 : n + self.width - 1] << np.uint64(16) | pad[3 : n + self.width]
-        keys = [word[k : k + n] for k in range(0, self.width, 4)]
-        order = np.lexsort(keys[::-1])
-        return order, [k[order] for k in keys]
+    def _words(rows: np.ndarray, bits: int) -> list[np.ndarray]:
+        """Rows of characters as 64-bit words of 64 / bits each, most significant first."""
+        per = 64 // bits
+        out = []
+        for k in range(0, rows.shape[1], per):
+            word = rows[:, k].astype(np.uint64)
+            for j in range(k + 1, k + per):
+                word = word << np.uint64(bits) | rows[:, j].astype(np.uint64)
+            out.append(word)
+        return out
+
+    def suffixes(self, text: np.ndarray, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(positions but separators in order of their suffixes, the sorted keys); suffixes end at a separator or at the longest piece."""
+        n, per = len(text), 64 // bits
+        stops = np.flatnonzero(text == 0)
+        left = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(n)
+        word = np.zeros(n + self.width, np.uint64)
+        word[:n] = text
+        step = 1
+        while step < per:
+            word[:-step] = word[:-step] << np.uint64(bits * step) | word[step:]
+            step *= 2
+        mask = np.array([(1 << 64) - (1 << (64 - bits * k)) for k in range(per + 1)], np.uint64)
+        at = np.flatnonzero(text)
+        left = left[at]
+        keys = [word[at + k] & mask[np.clip(left - k, 0, per)] for k in range(0, self.width, per)]
+        order = np.argsort(keys[0])
+        first = keys[0][order]
+        # equal first words are put in order by the others, unless these are all empty
+        new = np.ones(len(first), bool)
+        new[1:] = first[1:] != first[:-1]
+        group = np.cumsum(new) - 1
+        rest = np.zeros(group[-1] + 1 if len(group) else 0, bool)
+        rest[group[left[order] > per]] = True
+        tied = np.flatnonzero(rest[group])
+        some = order[tied]
+        order[tied] = some[np.lexsort([k[some] for k in keys[::-1]])]
+        return at[order], [first] + [k[order] for k in keys[1:]]
 
     @staticmethod
-    def _search(keys: list[np.ndarray], want: list[np.ndarray], upper: bool) -> np.ndarray:
-        """Of each wanted row, the number of suffixes below it (or not above it)."""
-        low, high = np.zeros(len(want[0]), np.int64), np.full(len(want[0]), len(keys[0]), np.int64)
+    def _search(keys: list[np.ndarray], want: list[np.ndarray], low: np.ndarray, high: np.ndarray, upper: bool) -> np.ndarray:
+        """Of each wanted row, the end of the suffixes below it (or not above it) between `low` and `high`."""
+        low, high = low.copy(), high.copy()
         while (todo := np.flatnonzero(low < high)).size:
             mid = (low[todo] + high[todo]) >> 1
             right = np.full(len(todo), upper)
@@ -148,16 +171,37 @@ class Matcher:
 
     def edges(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, piece) of every occurrence of every piece, by position."""
-        order, keys = self.suffixes(text)
-        lo, hi = self._search(keys, self.low, False), self._search(keys, self.high, True)
+        # the characters of this text, numbered densely: a word holds eight if they are few
+        used = np.flatnonzero(np.bincount(text))
+        used = used[used > 0]
+        bits = 8 if len(used) < 255 else 16
+        code = np.zeros(int(self.char.max()) + 1, np.uint16)
+        code[used] = np.arange(1, len(used) + 1)
+        rows = code[self.flat]
+        whole = np.flatnonzero(np.count_nonzero(rows, axis=1) == self.length)
+        rows, length = rows[whole], self.length[whole]
+        low = self._words(rows, bits)
+        rows[np.arange(self.width) >= length[:, None]] = (1 << bits) - 1
+        high = self._words(rows, bits)
+        order, keys = self.suffixes(code[text], bits)
+        lo, hi = np.searchsorted(keys[0], low[0], "left"), np.searchsorted(keys[0], high[0], "right")
+        far = np.flatnonzero((length > 64 // bits) & (lo < hi))
+        want = [k[far] for k in low[1:]], [k[far] for k in high[1:]]
+        lo[far], hi[far] = self._search(keys[1:], want[0], lo[far], hi[far], False), self._search(keys[1:], want[1], lo[far], hi[far], True)
         count = hi - lo
-        piece = np.repeat(np.arange(len(lo)), count)
+        piece = np.repeat(whole, count)
         start = order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(piece))]
-        by = np.argsort(start, kind="stable")
-        return start[by], piece[by]
+        shift = len(self.length).bit_length()
+        both = start << shift | piece
+        both.sort()
+        return both >> shift, both & ((1 << shift) - 1)
 
     def segment(self, chunks: list[str]) -> list[np.ndarray]:
         """The ids of each chunk."""
+        return [np.frombuffer(x, np.int32) for x in self.packed(chunks)]
+
+    def packed(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, four bytes each."""
         if not chunks:
             return []
         joined = "\0".join(chunks) + "\0"
@@ -172,17 +216,12 @@ class Matcher:
         # tokens: one for each boundary; -1 where no piece fits the character
         at = np.flatnonzero(bound)
         ids = token[at]
-        chunk = np.searchsorted(begin, at, side="right") - 1
-        cuts = np.searchsorted(chunk, np.arange(len(chunks) + 1))
-        lost = np.zeros(len(chunks), bool)
-        lost[chunk[ids < 0]] = True
-        out = []
-        for c in range(len(chunks)):
-            x = ids[cuts[c] : cuts[c + 1]]
-            if lost[c]:
-                where = at[cuts[c] : cuts[c + 1]]
-                x = np.array([i for t, p in zip(x.tolist(), where.tolist(), strict=True) for i in ([t] if t >= 0 else self._fallback(chr(points[p])))], np.int32)
-            out.append(x.astype(np.int32))
+        cuts = np.searchsorted(at, np.append(begin, len(text)))
+        raw, ends = ids.tobytes(), (4 * cuts).tolist()
+        out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for c in np.unique(np.searchsorted(cuts, np.flatnonzero(ids < 0), side="right") - 1).tolist():
+            pairs = zip(ids[cuts[c] : cuts[c + 1]].tolist(), at[cuts[c] : cuts[c + 1]].tolist(), strict=True)
+            out[c] = np.array([i for t, p in pairs for i in ([t] if t >= 0 else self._fallback(chr(points[p])))], np.int32).tobytes()
         return out
 
     def _fallback(self, char: str) -> list[int]:
@@ -192,33 +231,32 @@ class Matcher:
         """Relaxes edges by rank: the best edge of a chunk that two tokens fill becomes one token, the leftmost of equal ones first."""
         n = len(text)
         bound = np.ones(n + 1, bool)
-        bound[begin + size] = False  # separators are no tokens
+        follow = np.arange(1, n + 2, dtype=np.int32)  # the boundary after each one
         token = np.full(n + 1, -1, np.int32)
         one = self.length[piece] == 1
         token[start[one]] = self.ids[piece[one]]
         start, piece = start[~one], piece[~one]
-        end, rank, ident = start + self.length[piece], self.rank[piece], self.ids[piece]
-        chunk = np.searchsorted(begin, start, side="right") - 1
-        bound[begin + size] = True  # but they end the last token
+        chunk = np.repeat(np.arange(len(begin), dtype=np.int32), size + 1)[start]
+        rank, ident = self.rank[piece].astype(np.int32), self.ids[piece]
+        start, end = start.astype(np.int32), (start + self.length[piece]).astype(np.int32)
         while len(start):
-            inside = np.cumsum(bound)
-            count = inside[end - 1] - inside[start]
             # no boundary is ever added, so an edge with an end that is none, or none inside, is done with
-            live = bound[start] & bound[end] & (count > 0)
-            start, end, rank, ident, chunk, count = start[live], end[live], rank[live], ident[live], chunk[live], count[live]
-            ready = np.flatnonzero(count == 1)
+            live = np.flatnonzero(bound[start] & bound[end] & (follow[start] < end))
+            start, end, rank, ident, chunk = start[live], end[live], rank[live], ident[live], chunk[live]
+            ready = np.flatnonzero(follow[follow[start]] == end)
             if not len(ready):
                 break
             # edges are by position: the first of the best rank of its chunk wins
             c = chunk[ready]
             head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            key = rank[ready] * (n + 1) + start[ready]
+            key = rank[ready].astype(np.int64) * (n + 1) + start[ready]
             best = np.minimum.reduceat(key, head)
-            win = ready[key == np.repeat(best, np.diff([*head, len(c)]))]
-            middle = np.flatnonzero(bound)[inside[start[win]]]  # the boundary after the first one
-            bound[middle] = False
-            token[start[win]] = ident[win]
-        bound[begin + size] = False
+            win = ready[key == np.repeat(best, np.diff(head, append=len(c)))]
+            s = start[win]
+            bound[follow[s]] = False
+            follow[s] = end[win]
+            token[s] = ident[win]
+        bound[begin + size] = False  # separators are no tokens
         return bound[:n], token[:n]
 
     def _best(self, text, start, piece, begin, size):
@@ -283,9 +321,9 @@ class Codec:
             todo.append(c)
             held += len(c) + 1
             if held >= self.batch:
-                self.known.update(zip(todo, (x.tobytes() for x in self.matcher.segment(todo)), strict=True))
+                self.known.update(zip(todo, self.matcher.packed(todo), strict=True))
                 todo, held = [], 0
-        self.known.update(zip(todo, (x.tobytes() for x in self.matcher.segment(todo)), strict=True))
+        self.known.update(zip(todo, self.matcher.packed(todo), strict=True))
         if self.lean and len(chunks) > 10_000:
             give_back()
 

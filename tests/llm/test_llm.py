@@ -339,6 +339,26 @@ def test_sentencepiece_matches_the_library():
     assert [c.decode(x) for x in ids] == [lib.decode(x.tolist()) for x in ids]
 
 
+def test_sentencepiece_many_characters_and_little_memory():
+    """More characters than a byte numbers, texts of no known character, and a memory that is soon full."""
+    import sentencepiece
+
+    c = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load())
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL_PATH)
+    assert [x.tolist() for x in c.encode(["\n", "\n\n", "\ue000"])] == lib.encode(["\n", "\n\n", "\ue000"])
+    c.memory, c.batch = 60, 400
+    rng = random.Random(3)
+    known = [chr(i) for i in range(0x21, 0x2500) if c.matcher.char[i]]
+    assert len(known) > 300
+    words = ["international", "responsibilities", "²", "²..", "12²3", "x_1", "__", "Straße", "наука", "don't"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", rng.choice(known), "".join(rng.choices(known, k=5))]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    for k in range(0, 300, 25):
+        part = texts[k : k + 25] + texts[:5]
+        ids = c.encode(part)
+        assert [x.tolist() for x in ids] == lib.encode(part)
+        assert [c.decode(x) for x in ids] == [lib.decode(x.tolist()) for x in ids]
+
+
 def test_sentencepiece_unigram():
     """The best path of a small unigram vocabulary, against all segmentations."""
     rng = random.Random(2)
