@@ -12,9 +12,11 @@ row), columns are shingles.  It is never built in one place:
 3. The remaining rows are grouped: of two rows that link, the n - 0.75 n + 1
    rarest columns of each have one in common, so the components over these
    columns hold all links.
-4. Within a group, split into pairs of blocks if it is large, rows of the
-   product are accumulated from posting lists and cut at the size-derived
-   bound.  A row is multiplied only while it can still join two components.
+4. Within a group, rows of the product are accumulated from posting lists and
+   cut at the size-derived bound.  A row is multiplied only while it can still
+   join two components.  A large group is split into blocks, each with some
+   rows that all blocks share; only rows that are not in the group's largest
+   component after that meet all blocks of the group.
 
 Blocks cross the shuffle as packed arrays.  Shingles are compared by 52-bit
 hashes, sets by 64-bit ones.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextSlice, checkpoint, lean, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
+from .common import LOWER, SPACE, TextSlice, checkpoint, few, lean, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
 from .components import connected_components, forest
 from .packing import PACKED, heads, input_bytes, joined, packed, runs, values
 
@@ -39,8 +41,8 @@ HASH_BITS = 52
 BLOCK_BYTES, MIN_BITS, MAX_BITS = 6 << 20, 6, 24
 #: The sample from which very common columns are taken: documents, and how many of them hold such a column.
 SAMPLE_DOCS, SAMPLE_HITS = 2_000, 8
-#: Rows of a group that one task looks at (twice as many for a pair of blocks).
-GROUP_ROWS = 1_500
+#: Rows of a group that one task looks at (twice as many for a pair of blocks), and rows that all blocks of a group share, about.
+GROUP_ROWS, HUBS = 500, 16
 #: Shingles buffered by a task before they are dealt.
 BUFFER = 500_000
 
@@ -300,13 +302,14 @@ def overlaps(ptr: np.ndarray, col: np.ndarray, posts: np.ndarray, pptr: np.ndarr
     return np.bincount(posts[at], minlength=len(ptr) - 1)
 
 
-def link_group(sets: list[np.ndarray], n: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+def link_group(sets: list[np.ndarray], n: np.ndarray, percent: int, todo: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """Links (as positions) that have the components of all links between the sets.
 
     `sets` hold the shared columns, `n` the full sizes.  The row of the product
     with the most overlap comes first; all that link with it form a star, so
     afterwards only links with an end outside that star can join components,
-    and only the rows of those are multiplied.
+    and only the rows of those are multiplied.  Links between rows that are not
+    in `todo` (a mask, if given) are known already and not looked for.
     """
     size = np.array([len(x) for x in sets])
     flat = np.concatenate(sets)
@@ -324,13 +327,13 @@ def link_group(sets: list[np.ndarray], n: np.ndarray, percent: int) -> tuple[lis
 
     a, b, parts = [], [], len(sets)
     reach = np.add.reduceat(df[col].astype(np.int64), ptr[:-1]) if size.all() else np.array([df[col[ptr[i] : ptr[i + 1]]].sum() for i in range(len(sets))])
-    skip = np.zeros(len(sets), bool)
+    skip = np.zeros(len(sets), bool) if todo is None else ~todo
     for turn, i in enumerate(np.argsort(-reach, kind="stable")):
         if skip[i] or parts == 1:
             continue
         both = overlaps(ptr, col, posts, pptr, i)
         hit = np.flatnonzero((both > 0) & (100 * both >= percent * (n[i] + n - both)))
-        if turn == 0:
+        if turn == 0 and todo is None:
             skip[hit] = True
         for j in hit:
             if (x := root(i)) != (y := root(j)):
@@ -344,8 +347,8 @@ def link_group(sets: list[np.ndarray], n: np.ndarray, percent: int) -> tuple[lis
 def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         # one set may come twice if it was written by two tasks
-        comp, mark, n = (table[x].to_numpy() for x in ("component", "mark", "n"))
-        order = np.lexsort((mark, comp))
+        comp, mark, n, rest = (table[x].to_numpy() for x in ("component", "mark", "n", "rest"))
+        order = np.lexsort((~rest, mark, comp))
         once = np.ones(len(order), bool)
         once[1:] = (mark[order][1:] != mark[order][:-1]) | (comp[order][1:] != comp[order][:-1])
         order = order[once]
@@ -354,7 +357,7 @@ def _verify(percent: int):
         for lo, hi in runs(cuts, len(order)):
             if hi - lo > 1:
                 x = order[lo:hi]
-                i, j = link_group([values(columns[int(k)], np.uint64) for k in x], n[x], percent)
+                i, j = link_group([values(columns[int(k)], np.uint64) for k in x], n[x], percent, None if rest[x].all() else rest[x])
                 a.append(mark[x][i])
                 b.append(mark[x][j])
         none = [np.zeros(0, np.int64)]
@@ -378,6 +381,31 @@ def common_columns(docs: DataFrame, k: int) -> np.ndarray:
     return h[count >= SAMPLE_HITS]
 
 
+def _verified(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+    work = sets.select("n", "mark", "columns").join(tasks.withColumnRenamed("vertex", "mark"), "mark")
+    return work.groupBy("task").applyInArrow(lean(_verify(percent)), "a long, b long")
+
+
+def _blocks(large: DataFrame) -> DataFrame:
+    """Tasks for the blocks of large groups: each row in its own, some rows in all blocks of their group."""
+    hub = F.pmod(F.xxhash64("vertex", F.lit("hub")), F.col("rows")) < HUBS
+    at = F.explode(F.when(hub, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array("shard"))).alias("at")
+    return large.select("vertex", "component", at).select("vertex", "component", F.xxhash64("component", "at").alias("task"), F.lit(True).alias("rest"))
+
+
+def _remaining(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """Tasks for the rows outside the largest component found so far in their group: they meet all rows of the group."""
+    linked = linked.select("vertex", F.col("component").alias("class"))
+    rows = large.join(linked, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
+    largest = rows.groupBy("component", "class").agg(F.count("*").alias("size")).groupBy("component").agg(F.max(F.struct("size", "class"))["class"].alias("largest"), F.sum("size").alias("all"), F.max("size").alias("size"))
+    largest = largest.where(F.col("all") > F.col("size")).withColumn("parts", F.ceil((F.col("all") - F.col("size")) / GROUP_ROWS).cast("int"))
+    rows = rows.join(few(checkpoint(largest)), "component")
+    part = F.pmod(F.xxhash64("vertex", F.lit("part")), F.col("parts")).cast("int")
+    outside = rows.where(F.col("class") != F.col("largest")).select("vertex", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(True).alias("rest"))
+    others = rows.select("vertex", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shard", F.lit(False).alias("rest"))
+    return outside.unionByName(others).select("vertex", "component", F.xxhash64("component", "part", "shard", F.lit("part")).alias("task"), "rest")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; 100 * overlap >= percent * union links two documents.
 
@@ -399,14 +427,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     meet = sets.mapInArrow(_candidates(bits, blocks, percent), PACKED).groupBy("key").applyInArrow(lean(_meet(bits)), "a long, b long")
     groups = checkpoint(connected_components(meet))
     sizes = groups.groupBy("component").agg(F.count("*").alias("rows"))
-    total = groups.count()
     groups = groups.join(sizes, "component").withColumn("shards", F.ceil(F.col("rows") / GROUP_ROWS).cast("int"))
-    shard = F.pmod(F.xxhash64("vertex"), F.col("shards")).cast("int")
-    many = max(32, total // GROUP_ROWS)
-    groups = groups.withColumn("shard", shard).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    task = F.when(F.col("shards") == 1, F.pmod(F.xxhash64("component"), F.lit(many))).otherwise(F.xxhash64("component", F.least("shard", "other"), F.greatest("shard", "other")))
-    work = sets.select("n", "mark", "columns").join(groups.select(F.col("vertex").alias("mark"), "component", task.alias("task")), "mark")
-    links = work.groupBy("task").applyInArrow(lean(_verify(percent)), "a long, b long")
+    total, most = groups.agg(F.count("*"), F.coalesce(F.max("shards"), F.lit(0))).first()
+    verified = lambda tasks: _verified(sets, tasks, percent)
+    small = groups.where("shards = 1").select("vertex", "component", F.pmod(F.xxhash64("component"), F.lit(max(32, total // GROUP_ROWS))).alias("task"), F.lit(True).alias("rest"))
+    links = verified(small)
+    if most > 1:
+        large = checkpoint(groups.where("shards > 1").withColumn("shard", F.pmod(F.xxhash64("vertex"), F.col("shards")).cast("int")))
+        links = checkpoint(links.union(verified(_blocks(large))))
+        links = links.union(verified(_remaining(large, connected_components(links))))
     linked = connected_components(links).select(F.col("vertex").alias("mark"), "component")
     docs_ = rows.where("columns IS NULL").select("doc_id", "n", "mark")
     classes = docs_.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
