@@ -30,8 +30,8 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks that a worker remembers, and characters of new chunks that are indexed at once.
 MEMORY, BATCH_CHARS = 600_000, 400_000
-#: The same for a worker that shares its executor with other stages: slower, and it gives memory back as it learns.
-LEAN_MEMORY, LEAN_CHARS = 200_000, 150_000
+#: The same for a worker that shares its executor with other stages: slower, it gives memory back as it learns, and a task forgets its chunks at its end.
+LEAN_MEMORY, LEAN_CHARS = 100_000, 100_000
 #: Characters above which a text is cut into chunks part by part, and chunks of a part.
 LONG_CHARS, PART_CHUNKS = 200_000, 25_000
 UNIGRAM, BPE = 1, 2
@@ -388,6 +388,9 @@ def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
             if decode:
                 cols.append(pa.array([c.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
+        if lean:
+            c.known, c.old = {}, {}
+            give_back()
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode)
 
