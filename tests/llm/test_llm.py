@@ -96,27 +96,6 @@ def test_ngram_join(docs):
     assert all(r["component_id"] is None for r in got if r["doc_id"] is None)
 
 
-@pytest.mark.parametrize("hubs", [0, 1])
-def test_ngram_join_of_large_groups(spark, monkeypatch, hubs):
-    """Chains and clusters in one group that is split into many blocks, against all pairs."""
-    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 9)
-    monkeypatch.setattr(ngram_join, "HUBS", hubs)
-    rng = random.Random(4)
-    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
-    texts = [" ".join(words[2 * i : 2 * i + 60]) for i in range(110) if i not in (40, 41, 42, 43, 44)]
-    for _ in range(60):
-        x = words[:60]
-        for _ in range(rng.randint(0, 4)):
-            x[rng.randrange(60)] = rng.choice("abcdef")
-        texts.append(" ".join(x))
-    sets = [_sets(t) for t in texts]
-    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
-    name = dict(zip(*(v.tolist() for v in components.forest(np.array([i for i, _ in links]), np.array([j for _, j in links]))), strict=True))
-    assert len({name.get(i, i) for i in range(len(sets))}) > 2
-    got = ngram_join.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == {i: name.get(i, i) for i in range(len(sets))}
-
-
 def test_group_links_are_complete():
     """Spanning links against all pairs, on chains and clusters."""
     rng = np.random.default_rng(1)
