@@ -4,6 +4,10 @@ Only documents are labelled.  Each sentence gets a logistic score from the
 words and word beginnings in it, and a document's score is the noisy-or of its
 sentences: 1 - prod(1 - p).  Both are trained together from the labels of
 documents, so the model can point at the sentences that made it decide.
+
+Length alone decides nothing: a scored sentence counts only with its evidence
+beyond one without any known feature, in training clean sentences weigh more,
+and trained logits are stretched around the threshold's.
 """
 
 from __future__ import annotations
@@ -20,14 +24,18 @@ from pyspark.sql import functions as F
 from .common import TextSlice, held_out, mix64, prefix_hash, range_hash, sigmoid, text_slices, word_bounds
 from .labelled import labelled_sample
 
-#: Bounds of the training sample: labelled documents, and characters of one (longer ones aren't learned from).
-TRAIN_ROWS, TRAIN_CHARS = 4_000, 60_000
+#: Bounds of the training sample: labelled documents, and bytes of all; fewer documents are drawn where these are long.
+TRAIN_ROWS, TRAIN_BYTES = 4_000, 24 << 20
 #: Features kept, the fewest toxic documents and the least z-score of one.
 MAX_FEATURES, MIN_DOCS, MIN_Z = 4_096, 3, 2.5
 #: Word beginnings in bytes that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
-STEPS, RATE, DECAY = 300, 0.1, 1e-3
+STEPS, RATE, DECAY = 600, 0.1, 1e-3
+#: Clean sentences of the sample weigh as if there were so many, at most so many times their number: a document of several megabytes has 100,000.
+CLEAN_SENTENCES, CLEAN_WEIGHT = 10_000_000, 30
+#: Trained logits are stretched so many times around that of the threshold, so that many weak sentences add up to less.
+STRETCH = 2.0
 
 _GAP = np.ones(256, bool)
 _GAP[48:58] = _GAP[97:123] = _GAP[0x80:] = False
@@ -56,6 +64,14 @@ def sentences(s: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_bounds(s.data, s.starts, _END)
 
 
+def evidence(z: np.ndarray, bias: float) -> np.ndarray:
+    """-log of the chance that a sentence isn't toxic, beyond that of one without any known feature.
+
+    Such a sentence adds nothing, so that no length of them makes a document toxic.
+    """
+    return np.maximum(np.logaddexp(0, z) - np.logaddexp(0, bias), 0)
+
+
 @dataclass
 class Model:
     hashes: np.ndarray  # sorted
@@ -86,7 +102,7 @@ class Model:
         z = np.full(len(first), self.bias)
         if len(at):
             z += np.bincount(np.searchsorted(first, at, side="right") - 1, weights=self.weights[k], minlength=len(first))
-        none = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(s))  # -log of the chance that no sentence is toxic
+        none = np.bincount(doc, weights=evidence(z, self.bias), minlength=len(s))  # -log of the chance that no sentence is toxic
         return -np.expm1(-none), (first, last, doc), z
 
 
@@ -137,24 +153,33 @@ def train(slices: list[TextSlice], labels: np.ndarray) -> Model:
     w, bias = np.clip(odds[keep], 0, 4), -8.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     y = labels[np.arange(docs)] > 0
+    more = np.clip(CLEAN_SENTENCES / max(1, np.count_nonzero(~y[sent_doc])), 1, CLEAN_WEIGHT)
     for t in range(1, STEPS + 1):
         logit = bias + np.bincount(rows, weights=w[cols], minlength=base)
         p = sigmoid(logit)
         none = np.bincount(sent_doc, weights=np.logaddexp(0, logit), minlength=docs)
-        pull = np.where(y, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-4), 1.0)  # d loss / d log-chance of none
+        pull = np.where(y, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-4), more)  # d loss / d log-chance of none
         g = p * pull[sent_doc]
         grad = np.append(np.bincount(cols, weights=g[rows], minlength=len(w)) + DECAY * docs * w / max(1, len(w)), g.sum()) / docs
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], min(-6.0, bias - step[-1])
-    return Model.of(h[keep], w, float(bias))
+    middle = np.log(THRESHOLD / (1 - THRESHOLD))
+    return Model.of(h[keep], STRETCH * w, float(middle + STRETCH * (bias - middle)))
+
 
+def fit(docs: DataFrame, labels: DataFrame, usable=None, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
+    """Fits on about `rows` labelled documents and `size` bytes at most, drawn by hashes of the id whatever their length.
 
-def fit(docs: DataFrame, labels: DataFrame, usable=None, rows: int = TRAIN_ROWS) -> Model:
-    """Fits on about `rows` labelled documents at most, none above TRAIN_CHARS characters."""
+    At least one of 1,024 parts of the drawn ids is taken, even if it is larger.
+    """
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, rows, "toxic")
-    got = sample.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    sample = sample.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("size")), F.lit(1024)).alias("part"))
+    sizes = sample.groupBy("part").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("part").collect()
+    fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), size, side="right"))
+    if fits < len(sizes):
+        sample = sample.where(F.col("part") <= sizes[max(0, fits - 1)]["part"])
+    got = sample.drop("part").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
     slices = list(text_slices(iter(got.to_batches()), transform=_lower))
     return train(slices, (got["label"].to_numpy() > 0).astype(np.int64))
 

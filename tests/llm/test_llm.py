@@ -395,6 +395,30 @@ def test_accuracy(spark, small):
         assert r.agg(F.avg((F.col(label) == F.col("predicted")).cast("int"))).first()[0] > 0.95
 
 
+@pytest.mark.parametrize("long_labels", [False, True])
+def test_toxicity_of_long_texts(spark, long_labels):
+    """Clean texts of megabytes are kept and one toxic sentence in them is found, also where all labelled documents are long."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    sentence = lambda bad=False: " ".join([*rng.choices(words, k=6), *(["vileword", "filth"] if bad else []), *rng.choices(words, k=3)]) + "."
+    n, size = (60, 1_100) if long_labels else (400, 30)
+    body = [[sentence(bad=k % 5 == 0 and i == size // 2) for i in range(size)] for k in range(n)]
+    docs = spark.createDataFrame([(k, " ".join(b)) for k, b in enumerate(body)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(n)], "doc_id long, toxic int")
+    assert not long_labels or docs.where("length(text) <= 60000").count() == 0
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(docs, model).join(labels, "doc_id").where("predicted <> toxic").count() == 0
+    long = [sentence() for _ in range(100_000)]
+    texts = {0: long[:50_000], 1: [*long[:20_000], sentence(True), *long[20_000:50_000]], 2: long, 3: [sentence(True), *long]}
+    big = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    assert big.agg(F.min(F.length("text"))).first()[0] > 3_000_000
+    got = {r["doc_id"]: (r["predicted"], len(r["offending"])) for r in toxicity.score(big, model).collect()}
+    assert got == {0: (0, 0), 1: (1, 1), 2: (0, 0), 3: (1, 1)}
+    assert {r["doc_id"] for r in toxicity.drop_toxic(big, model).select("doc_id").collect()} == {0, 2}
+    few = toxicity.fit(docs, labels, size=docs.agg(F.sum(F.octet_length("text"))).first()[0] // 2)
+    assert len(few.hashes)  # fewer documents, not only shorter ones
+
+
 def test_langid_phrases():
     """The lockstep parse against a plain greedy one."""
     rng = random.Random(3)
