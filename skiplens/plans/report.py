@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import column_bounds, format_size, stats_text
 from ..operators.pruning import Pruning, prune
 from ..operators.replay import live_files, schema_of, table_metadata, table_version
-from ..sources.log import read_log
+from ..sources.log import read_table_log
 from ..sources.storage import TableError
 
 
@@ -119,7 +119,7 @@ class Report:
 
 def report(spark: SparkSession, path: str, shown: str | None = None, predicate: str | None = None, version: int | None = None, mixed_or: str = "separate", stats_mode: str = "strict") -> Report:
     """Reads the log once and prunes with `predicate`; `version` travels back in time."""
-    actions = read_log(spark, path, version).cache()
+    actions = read_table_log(spark, path, version).cache()
     meta, newest = table_metadata(actions).first(), table_version(actions).first()["version"]
     if newest is None or meta["schema_string"] is None:
         actions.unpersist()

@@ -7,15 +7,21 @@ no action.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import TableError
+
 ACTION = (
     "add struct<path:string,partitionValues:map<string,string>,size:bigint,stats:string,deletionVector:struct<storageType:string,pathOrInlineDv:string,offset:int>>,"
     "remove struct<path:string,deletionVector:struct<storageType:string,pathOrInlineDv:string,offset:int>>,"
     "metaData struct<schemaString:string,partitionColumns:array<string>>"
 )
 COMMIT_FILE = r"^\d{20}\.json$"
+#: A checkpoint in one file or in numbered parts.
+CHECKPOINT_FILE = r"^(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10}))?\.parquet$"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -34,8 +40,44 @@ def read_log(spark: SparkSession, table: str, version: int | None = None) -> Dat
     return parse_lines(commits.select("commit_version", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")))
 
 
-def read_checkpoint(spark: SparkSession, path: str, version: int) -> DataFrame:
+def read_checkpoint(spark: SparkSession, paths: str | list[str], version: int) -> DataFrame:
     """Actions of a checkpoint in Parquet, as of `version`; they come before any line of later commits."""
-    raw = spark.read.parquet(path)
+    raw = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    if "sidecar" in raw.columns and raw.where("sidecar IS NOT NULL").limit(1).count():
+        raise TableError(f"The checkpoint of version {version} keeps its files in sidecars, which can't be read")
     parts = [F.from_json(F.to_json(n), ACTION.split(f"{n} ", 1)[1].split(",remove ")[0].split(",metaData ")[0]).alias(n) if n in raw.columns else F.lit(None).alias(n) for n in ("add", "remove", "metaData")]
     return raw.select(F.lit(version).cast("long").alias("commit_version"), F.lit(-1).alias("line_no"), *parts)
+
+
+def _log_names(spark: SparkSession, log: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(log)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
+def find_checkpoint(names: list[str], version: int | None = None) -> tuple[int, list[str]] | None:
+    """(version, file names) of the newest checkpoint at or below `version` of which no part is missing."""
+    found: dict[tuple[int, int], list[str]] = {}
+    for n in sorted(names):
+        if (m := re.match(CHECKPOINT_FILE, n)) and (version is None or int(m[1]) <= version):
+            found.setdefault((int(m[1]), int(m[3] or 1)), []).append(n)
+    whole = [(v, files) for (v, parts), files in found.items() if len(files) >= parts]
+    # a file of its own and a single numbered part hold the same actions: one is enough
+    return max(((v, files[:1] if len(files) > 1 and re.match(r"^\d{20}\.checkpoint\.parquet$", files[-1]) else files) for v, files in whole), default=None)
+
+
+def read_table_log(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
+    """Actions up to `version`: of the newest checkpoint and all commits after it, none of which may be missing."""
+    log = f"{table.rstrip('/')}/_delta_log"
+    names = _log_names(spark, log)
+    point = find_checkpoint(names, version)
+    first = point[0] + 1 if point else 0
+    commits = {int(n[:20]) for n in names if re.match(COMMIT_FILE, n)}
+    later = {v for v in commits if v >= first and (version is None or v <= version)}
+    if gone := set(range(first, max(later, default=first - 1) + 1)) - later:
+        raise TableError(f"The log of '{table}' lacks the commit of version {min(gone)} and a checkpoint that holds it")
+    actions = read_log(spark, table, version)
+    if point is None:
+        return actions
+    old = read_checkpoint(spark, [f"{log}/{n}" for n in point[1]], point[0])
+    return old.where("add IS NOT NULL OR remove IS NOT NULL OR metaData IS NOT NULL").unionByName(actions.where(F.col("commit_version") > point[0]))

@@ -13,7 +13,7 @@ from skiplens.operators.pruning import prune
 from skiplens.operators.replay import live_files
 from skiplens.plans.report import report
 from skiplens.predicate import PredicateError, analyze, parse, to_sql
-from skiplens.sources.log import parse_lines
+from skiplens.sources.log import parse_lines, read_log
 from skiplens.sources.storage import TableError, storage_options, table_path
 from skiplens.streaming.tail import stream_log
 
@@ -124,6 +124,30 @@ def test_gaps(spark, tmp_path, capsys):
     assert main([path, "--assert-stats", "--stats-mode", "log_entry"], spark) == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_checkpoint(spark, tmp_path, capsys, parts):
+    """A table whose early commits were cleaned up after a checkpoint."""
+    add = lambda k: _add(f"f{k}", 10, 1, {"age": (k, k)}, {"country": "DE" if k else None})
+    path = _write(tmp_path / "t", [[_meta(["country"]), add(0)], [add(1)], [{"remove": {"path": "f1"}}, add(2)], [add(3), {"remove": {"path": "f0"}}], [add(4)]])
+    log = tmp_path / "t" / "_delta_log"
+    want = {v: {r["path"] for r in report(spark, path, version=v).pruning.files.collect()} for v in (2, 3, 4)}
+    live = read_log(spark, path, 2).where("coalesce(add.path, '') <> 'f1'").select("add", "remove", "metaData")
+    live.repartition(parts).write.parquet(str(tmp_path / "c"))
+    files = sorted((tmp_path / "c").glob("part-*.parquet"))
+    assert len(files) == parts
+    for k, f in enumerate(files, 1):
+        f.rename(log / (f"{2:020d}.checkpoint.parquet" if parts == 1 else f"{2:020d}.checkpoint.{k:010d}.{parts:010d}.parquet"))
+    for v in range(3):
+        (log / f"{v:020d}.json").unlink()
+    for v, paths in want.items():
+        r = report(spark, path, predicate="country = 'DE' AND age > 2", version=v)
+        assert r.version == v and {x["path"] for x in r.pruning.files.collect()} == paths and r.files_with_stats == len(paths)
+    assert want[4] == {"f2", "f3", "f4"} and report(spark, path, predicate="age > 2").kept == [2]
+    assert main([path], spark) == 0 and "Files in snapshot: 3" in capsys.readouterr().out
+    (log / f"{3:020d}.json").unlink()
+    assert main([path], spark) == 1 and "lacks the commit of version 3" in capsys.readouterr().err
+
+
 def test_stream(spark, tables, tmp_path):
     q = stream_log(spark, tables["P"]).writeStream.format("memory").queryName("tail").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
