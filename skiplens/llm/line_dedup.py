@@ -1,9 +1,10 @@
 """Line dedup, in DataFrame functions throughout.
 
-Long enough lines are exploded as 128-bit hashes of their normalised form
-(never as text), distinct documents are counted per hash, and each document
-is joined with the hashes it loses.  Its lines are then filtered in place, so
-the order of the lines needs no sort and the text moves at most once.
+Long enough lines are exploded with their positions as 128-bit hashes of their
+normalised form (never as text), distinct documents are counted per hash, and
+the positions of lines over the threshold go back to their rows.  A row is put
+together again from the slices between its dropped positions, in time linear
+in its lines; the text moves at most once.
 """
 
 from __future__ import annotations
@@ -30,33 +31,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The document with the largest id that holds such a line keeps all its copies
     of it.  Returns one row per input row: ``doc_id, text, n_lines, n_dropped``,
-    and with `carry` the whole input row as the struct ``row``; other input
-    columns are ignored, so their names can't clash.
+    and with `carry` the whole input row but its text as the struct ``row``;
+    other input columns are ignored, so their names can't clash.
 
-    * null or empty text: one empty line, kept; the text returned is ''.
+    * null text: one empty line, kept; the text returned is null.  Empty text: the same, and ''.
     * a text all of whose lines go becomes ''.
+    * very long texts, also of one line repeated: time and memory grow with the number of lines.
     * null ids: such rows are neither counted nor changed.
-    * rows that repeat an id count as one document and lose the same lines.
+    * rows that repeat an id count as one document and lose the same lines; of equal rows
+      each is returned.  They are told apart by a 64-bit hash and the length of the text.
     * empty table: empty result.
     """
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
-    lines = F.split(F.col("text"), "\n", -1)
-    keys = F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), line_key)
-    hashes = F.array_distinct(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), _hash))
-    held = d.where("doc_id IS NOT NULL").select("doc_id", F.explode(hashes).alias("h")).distinct()
-    often = held.groupBy("h").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    name = F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("x"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *rest)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    keys = F.transform(lines, lambda line, i: F.struct(i.alias("pos"), F.when(F.length(line) >= min_chars, line_key(line)).alias("key")))
+    long = F.filter(keys, lambda k: F.length(k["key"]) >= min_chars)
+    # two steps: a text must not go through the explosion with each of its lines
+    held = d.where("doc_id IS NOT NULL").select("doc_id", name.alias("name"), long.alias("keys"))
+    held = held.select("doc_id", "name", F.explode("keys").alias("k")).select("doc_id", "name", "k.pos", _hash(F.col("k.key")).alias("h"))
+    often = held.groupBy("h").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     drops = held.join(often.select("h", "keeper"), "h").where(F.col("doc_id") != F.col("keeper"))
-    drops = drops.groupBy("doc_id").agg(F.collect_list("h").alias("drops"))
-    lose = lambda x: (F.length(x) >= min_chars) & F.array_contains(F.col("drops"), _hash(line_key(x)))
-    kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, lambda x: ~lose(x)))
-    out = d.join(drops, "doc_id", "left").select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"), *["row"] * carry)
-    return out.select("doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), *["row"] * carry)
+    # equal rows of one id send equal positions; a set holds no more of them than the text has lines
+    drops = drops.groupBy("doc_id", "name").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+    told = d.withColumn("name", name).join(drops, ["doc_id", "name"], "left").select("doc_id", "text", lines.alias("lines"), "drops", *["row"] * carry)
+    n = F.size("lines")
+    cuts = F.arrays_zip(F.concat(F.array(F.lit(-1)), "drops").alias("a"), F.concat("drops", F.array(n)).alias("b"))
+    between = F.flatten(F.transform(cuts, lambda c: F.slice("lines", c["a"] + 2, c["b"] - c["a"] - 1)))
+    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(between, "\n"))
+    return told.select("doc_id", text.alias("text"), n.cast("long").alias("n_lines"), F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"), *["row"] * carry)
 
 
 def digest(result: DataFrame) -> DataFrame:
     """The thin view of the query: sizes and the hash of what is kept."""
-    return result.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return result.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = r"""
