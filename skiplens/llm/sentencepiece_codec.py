@@ -2,22 +2,24 @@
 
 Texts are cut into chunks that no piece can cross (a run of word marks and
 the letters, digit or other characters that follow, as far as the pieces
-allow).  The distinct new chunks of a batch are concatenated and all
-their suffixes sorted, every piece of the vocabulary finds its range of
-occurrences by binary search, and the resulting edges, sorted by position, are
-relaxed: for unigram models to the path of the best total score, for BPE
-models in the order of their ranks, an edge being taken when two tokens fill
-it.  Chunks seen before come from a bounded memory of the worker.
+allow).  The distinct chunks of a batch are concatenated and all their suffixes
+sorted, every piece of the vocabulary finds its range of occurrences by binary
+search, and the resulting edges, sorted by position, are relaxed: for unigram
+models to the path of the best total score, for BPE models in the order of
+their ranks, an edge being taken when two tokens fill it.  Every token of a
+batch comes out of that batch's array; nothing is remembered between batches.
 
 The vocabulary comes from a model file, read once on the driver.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,12 @@ from .common import give_back, text_slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Chunks that a worker remembers, and characters of new chunks that are indexed at once.
-MEMORY, BATCH_CHARS = 600_000, 400_000
-#: The same for a worker that shares its executor with other stages: slower, it gives memory back as it learns, and a task forgets its chunks at its end.
-LEAN_MEMORY, LEAN_CHARS = 100_000, 100_000
-#: Characters above which a text is cut into chunks part by part, and chunks of a part.
-LONG_CHARS, PART_CHUNKS = 200_000, 25_000
+#: Bytes of text in a batch, and characters of chunks that are indexed at once.
+BATCH_BYTES, INDEX_CHARS = 8 << 20, 400_000
+#: The same for a worker that shares its executor with other stages: it holds less and indexes common chunks more often.
+LEAN_BYTES, LEAN_CHARS = 2 << 20, 100_000
+#: Characters above which the edges of a chunk are relaxed from a heap, in place of rounds over the edges of all chunks.
+LONG_CHUNK = 64
 UNIGRAM, BPE = 1, 2
 #: Ways to cut texts into chunks, the finest first.  Each cuts between two characters by these two alone,
 #: so no piece crosses chunks if each piece by itself is one chunk.
@@ -228,7 +230,11 @@ class Matcher:
         return [self.vocab.byte_ids[b] for b in char.encode()] if self.vocab.byte_ids else [self.vocab.unk]
 
     def _merge(self, text, start, piece, begin, size):
-        """Relaxes edges by rank: the best edge of a chunk that two tokens fill becomes one token, the leftmost of equal ones first."""
+        """Relaxes edges by rank: the best edge of a chunk that two tokens fill becomes one token, the leftmost of equal ones first.
+
+        Short chunks take a round for each token together; each long one takes
+        time n log n by itself.
+        """
         n = len(text)
         bound = np.ones(n + 1, bool)
         follow = np.arange(1, n + 2, dtype=np.int32)  # the boundary after each one
@@ -239,6 +245,12 @@ class Matcher:
         chunk = np.repeat(np.arange(len(begin), dtype=np.int32), size + 1)[start]
         rank, ident = self.rank[piece].astype(np.int32), self.ids[piece]
         start, end = start.astype(np.int32), (start + self.length[piece]).astype(np.int32)
+        if len(long := np.flatnonzero(size > LONG_CHUNK)):
+            cuts = np.searchsorted(chunk, [long, long + 1])
+            for c, lo, hi in zip(long.tolist(), *cuts.tolist(), strict=True):
+                self._merge_one(int(begin[c]), int(size[c]), start[lo:hi], end[lo:hi], rank[lo:hi], ident[lo:hi], bound, token)
+            live = np.flatnonzero(size[chunk] <= LONG_CHUNK)
+            start, end, rank, ident, chunk = start[live], end[live], rank[live], ident[live], chunk[live]
         while len(start):
             # no boundary is ever added, so an edge with an end that is none, or none inside, is done with
             live = np.flatnonzero(bound[start] & bound[end] & (follow[start] < end))
@@ -259,6 +271,45 @@ class Matcher:
         bound[begin + size] = False  # separators are no tokens
         return bound[:n], token[:n]
 
+    @staticmethod
+    def _merge_one(base, size, start, end, rank, ident, bound, token):
+        """One chunk from a heap of (rank, start) of the edges that two tokens fill; `bound` and `token` are changed."""
+        first = memoryview(np.searchsorted(start, np.arange(base, base + size + 1)))
+        ends, ranks, idents = (memoryview(np.ascontiguousarray(x)) for x in (end - np.int32(base), rank, ident))
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))  # the tokens beside each token
+        filled = [-1] * size  # the edge that this token and the next one fill
+        heap = []
+
+        def look(s):
+            m = after[s]
+            filled[s] = -1
+            if m < size:
+                e = after[m]
+                for k in range(first[s], first[s + 1]):
+                    if ends[k] == e:
+                        filled[s] = k
+                        heapq.heappush(heap, (ranks[k] << 40) + s)
+                        return
+
+        for s in range(size):
+            look(s)
+        while heap:
+            top = heapq.heappop(heap)
+            s = top & ((1 << 40) - 1)
+            k = filled[s]
+            if k < 0 or ranks[k] != top >> 40:
+                continue  # filled by other tokens since
+            m = after[s]
+            bound[base + m] = False
+            filled[m] = -1
+            token[base + s] = idents[k]
+            after[s] = after[m]
+            if after[s] < size:
+                before[after[s]] = s
+            look(s)
+            if s:
+                look(before[s])
+
     def _best(self, text, start, piece, begin, size):
         """Relaxes edges by end: the path of the largest total score; an unknown character costs more than any piece."""
         n = len(text)
@@ -296,16 +347,11 @@ class Matcher:
 
 
 class Codec:
-    """Encodes with a bounded memory of chunks; a worker keeps one for each vocabulary.
-
-    The memory has two halves: when the newer one is full, it becomes the older
-    one, and what is used again moves over.
-    """
+    """Encodes batches of texts; a worker keeps one for each vocabulary."""
 
     def __init__(self, vocab: Vocabulary, lean: bool = False):
-        self.matcher, self.vocab, self.known, self.lean = Matcher(vocab), vocab, {}, lean
-        self.old: dict[str, bytes] = {}
-        self.memory, self.batch = (LEAN_MEMORY, LEAN_CHARS) if lean else (MEMORY, BATCH_CHARS)
+        self.matcher, self.vocab, self.lean = Matcher(vocab), vocab, lean
+        self.batch = LEAN_CHARS if lean else INDEX_CHARS
         self.cut = self.matcher.cut
 
     def _marked(self, text: str) -> str:
@@ -314,42 +360,29 @@ class Codec:
     def chunks(self, text: str) -> list[str]:
         return self.cut.findall(self._marked(text)) if text else []
 
-    def learn(self, chunks: Iterable[str]) -> None:
+    def _index(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk, four bytes each, in the order of the chunks."""
+        out: list[bytes] = [b""] * len(chunks)
+        order = sorted(range(len(chunks)), key=lambda i: len(chunks[i]))  # of like length, so that all end after as many rounds
         todo, held = [], 0
-        chunks = sorted(chunks, key=len)  # of like length, so that all end after as many rounds
-        for c in chunks:
-            todo.append(c)
-            held += len(c) + 1
-            if held >= self.batch:
-                self.known.update(zip(todo, self.matcher.packed(todo), strict=True))
+        for k, i in enumerate(order):
+            todo.append(i)
+            held += len(chunks[i]) + 1
+            if held >= self.batch or k == len(order) - 1:
+                for j, ids in zip(todo, self.matcher.packed([chunks[j] for j in todo]), strict=True):
+                    out[j] = ids
                 todo, held = [], 0
-        self.known.update(zip(todo, self.matcher.packed(todo), strict=True))
-        if self.lean and len(chunks) > 10_000:
-            give_back()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = self._encode([self.chunks(t) if len(t) <= LONG_CHARS else [] for t in texts])
-        for i, t in enumerate(texts):
-            if len(t) > LONG_CHARS:
-                found = self.cut.finditer(self._marked(t))
-                parts = []
-                while part := [m.group() for m in islice(found, PART_CHUNKS)]:
-                    parts += self._encode([part])
-                out[i] = np.concatenate(parts)
         return out
 
-    def _encode(self, cut: list[list[str]]) -> list[np.ndarray]:
-        need = set().union(*cut) if cut else set()
-        fresh = need.difference(self.known)
-        if len(self.known) + len(fresh) > self.memory // 2:
-            self.known, self.old, fresh = {}, self.known, need
-        if fresh:
-            old = self.old
-            back = {w: old[w] for w in fresh if w in old}
-            self.known.update(back)
-            self.learn(fresh.difference(back))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        # each distinct chunk of the batch is held once, a text as the numbers of its chunks
+        number: dict[str, int] = defaultdict(count().__next__)
+        cut = [np.fromiter(map(number.__getitem__, (m.group() for m in self.cut.finditer(self._marked(t)))), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        ids = self._index(list(number))
+        del number
+        if self.lean:
+            give_back()
+        return [np.frombuffer(b"".join(map(ids.__getitem__, c.tolist())), np.int32) for c in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.vocab.texts.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
@@ -374,13 +407,15 @@ def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
 
     * null text: counts as empty, no ids and ''.
     * characters in no piece become byte pieces, or the unknown piece if the model has none.
-    * null ids are passed on; repeated rows get equal ids; other columns are ignored.
+    * very long texts: a text is encoded whole, and one run of letters takes time n log n.
+    * null ids are passed on; repeated rows get equal ids; other columns are ignored, whatever their names.
+    * empty table: empty result.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab, lean)
-        for s in text_slices(batches):
+        for s in text_slices(batches, max_bytes=LEAN_BYTES if lean else BATCH_BYTES):
             ids = c.encode(s.column("text").to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
@@ -388,9 +423,6 @@ def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
             if decode:
                 cols.append(pa.array([c.decode(x) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
-        if lean:
-            c.known, c.old = {}, {}
-            give_back()
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decode)
 
