@@ -36,10 +36,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names; sets one only where none is named."""
+    """Uses the folder the cluster names; makes one only on a local master, where all tasks share this machine's disk."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skiplens-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="skiplens-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -146,19 +152,24 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", transfo
         give_back()
 
 
-_POW: dict[str, np.ndarray] = {}
+_POW: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers that a worker keeps at most, 16 bytes each.
+KEPT_POWERS = 4 * SLICE_BYTES
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n."""
-    if len(_POW.get("p", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for key, base in (("p", _BASE), ("q", pow(_BASE, -1, 1 << 64))):
-            a = np.full(size, base, _U)
-            a[0] = 1
-            _POW[key] = np.cumprod(a, dtype=_U)
-    return _POW["p"][:n], _POW["q"][:n]
+    """base^i and base^-i modulo 2^64 for i < n; a worker keeps those for slices of common size only."""
+    if len(kept := _POW.get("all", ((), ()))[0]) >= n:
+        return kept[:n], _POW["all"][1][:n]
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        a = np.full(max(n, SLICE_BYTES + 1), base, _U)
+        a[0] = 1
+        out.append(np.cumprod(a, dtype=_U, out=a))
+    if n <= KEPT_POWERS:
+        _POW["all"] = tuple(out)
+    return out[0][:n], out[1][:n]
 
 
 def mix64(h: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, TextSlice, checkpoint, lean, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
 from .components import connected_components, forest
-from .packing import PACKED, heads, input_bytes, joined, packed, runs, values
+from .packing import PACKED, block_bits, heads, joined, packed, runs, values
 
 U = np.uint64
 HASH_BITS = 52
@@ -388,7 +388,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     * empty table: empty result; other columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs) / BLOCK_BYTES))), MIN_BITS, MAX_BITS))
+    bits = block_bits(d, "text", BLOCK_BYTES, MIN_BITS, MAX_BITS)
     blocks = 1 << bits
     dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k), k), PACKED)
     shared = dealt.groupBy("key").applyInArrow(lean(_shared(bits, blocks)), PACKED)

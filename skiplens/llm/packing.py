@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "key long, kind int, a binary, b binary, c binary, d binary, e binary"
 _SCHEMA = pa.schema([("key", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in "abcde")])
@@ -45,7 +46,7 @@ def runs(head: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(head.tolist(), [*head[1:].tolist(), n], strict=True)) if len(head) else []
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of `df`; 0 if it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 0
+def block_bits(df: DataFrame, column: str, block_bytes: int, low: int, high: int) -> int:
+    """Bits of the number of blocks of about `block_bytes` for the texts of a column, whose bytes are summed."""
+    n = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return int(np.clip(np.ceil(np.log2(max(1, n / block_bytes))), low, high))

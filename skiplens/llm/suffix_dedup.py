@@ -5,20 +5,20 @@ document with a smaller id.  Sorting all suffixes of a corpus is out of reach,
 and not needed: equal strings have equal least k-grams at the same place, so
 
 1. each window of LENGTH bytes belongs to its least k-gram (its anchor), one
-   anchor for about 18 bytes; an anchor and the hash of all bytes of its
-   windows (its context) go to the block of the anchor.
-2. of equal contexts all but those of the smallest document are repeats as a
-   whole.  Where one anchor has different contexts, the first document of each
-   sends its bytes, at most LENGTH + 34 of them.
-3. these suffixes are sorted by mergesort.  Two are compared in log2(LENGTH)
+   anchor for about 14 bytes.  The windows of an anchor and the bytes they
+   cover are its context.  Anchors go to blocks by their hash; where documents
+   have one in common, each sends the bytes of its contexts.
+2. these suffixes are sorted by mergesort.  Two are compared in log2(LENGTH)
    steps: binary search over prefix polynomial hashes finds their common
-   extension, the next byte decides.  Neighbours with equal hashes are compared
-   byte by byte before they count as equal, and the smallest document of a run
-   of equal strings keeps them.
-
-An anchor with very many contexts is split by the hashes of its windows.  What
-a task knows by itself (its own repeats) it answers by itself, so a common
-passage sends one row a task, not one a document.
+   extension, the next byte decides.  Hashes can collide, so all neighbours are
+   compared byte by byte afterwards; where the order is wrong, it is made again
+   from the bytes.  The smallest document of a run of equal strings keeps them.
+
+No byte is removed for a hash alone: whole contexts that a task sees several
+times (copies, common passages) are compared byte by byte with the first one
+before they stand for one suffix, so a common passage sends one row a task, not
+one a document.  An anchor with very many contexts is split by the hashes of
+its windows.
 """
 
 from __future__ import annotations
@@ -30,24 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, few, mix64, prefix_hash, range_hash, release, text_slices
-from .packing import PACKED, heads, input_bytes, joined, packed, runs, values
+from .common import checkpoint, mix64, prefix_hash, range_hash, release, text_slices
+from .packing import PACKED, block_bits, heads, joined, packed, runs, values
 
 U = np.uint64
 #: Bytes of a string that counts as a repeat, of an anchor, and k-grams in a window.
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 GRAMS = LENGTH - GRAM + 1
 #: Windows looked at in one step; a longer text is cut here, which moves contexts but changes no result.
 STEP = 1 << 20
 #: Anchors (or contexts) buffered by a task before they are dealt.
 BUFFER, CONTEXT_BUFFER = 1_000_000, 100_000
-#: Contexts of one anchor in one task, and in one block, above which its windows are dealt by their own hashes.
+#: Contexts of one anchor in one task, and entries of one in a block, above which its windows are dealt by their own hashes.
 TASK_CONTEXTS, BLOCK_CONTEXTS = 64, 4_096
-#: Input bytes for each block, and the bits of the smallest and largest number of blocks.
+#: Text bytes for each block, and the bits of the smallest and largest number of blocks.
 BLOCK_BYTES, MIN_BITS, MAX_BITS = 12 << 20, 6, 24
-ALL = (1 << GRAMS) - 1
-COVERED, NEED, HOT = 0, 1, 2
-_ENTRIES, _MARKS, _REPLIES, _CONTEXTS = 0, 1, 2, 3
+#: The part of an anchor's hash by which a document is asked for it; the next bit says that its windows are dealt apart.
+NAME, HOT = U((1 << 48) - 1), U(1 << 48)
+_ENTRIES, _MARKS, _ASKED, _SPANS, _CONTEXTS = 0, 1, 2, 3, 4
 
 
 class Anchors:
@@ -63,7 +63,7 @@ class Anchors:
         self.doc = np.searchsorted(starts, self.lo, side="right") - 1
         self.gram = mix64(gram)  # anchors are small hashes: mixed again they spread over all blocks
         shape = ((self.at - self.lo) * GRAMS + self.hi - self.lo).astype(U)
-        self.context = mix64(range_hash(self.prefix, self.lo, self.hi + LENGTH) + shape * U(0x9E3779B97F4A7C15)) >> U(16)
+        self.context = mix64(range_hash(self.prefix, self.lo, self.hi + LENGTH) + shape * U(0x9E3779B97F4A7C15))
 
     def _step(self, starts: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
         n = hi - lo + GRAMS - 1
@@ -86,21 +86,82 @@ class Anchors:
         return first[new], first[np.append(new[1:], len(first)) - 1], best[new] + lo, gram[best[new]]
 
 
-def _ids(s) -> tuple[np.ndarray, np.ndarray]:
+def _ids(s) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, which of them are known, tags) of the rows of a slice; a tag tells rows apart that repeat an id."""
     ids = s.column("doc_id")
-    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False)
+    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False), s.column("tag").to_numpy(zero_copy_only=False)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes at each position as one number that compares like them; a view."""
+    return np.ndarray((max(0, len(data) - 7),), ">u8", np.ascontiguousarray(data).data, strides=(1,))
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size] equals data[b : b + size], for sizes of eight and more."""
+    w, same = _words(data), np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        o = np.minimum(k, size - 8)
+        same &= w[a + o] == w[b + o]
+    return same
+
+
+def _offsets() -> list[int]:
+    return [*range(0, LENGTH - 7, 8), LENGTH - 8]
+
+
+def compare(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1: how the LENGTH bytes at a compare with those at b."""
+    w, out = _words(data), np.zeros(len(a), np.int8)
+    for k in _offsets():
+        x, y = w[a + k].astype(U), w[b + k].astype(U)
+        out = np.where(out == 0, (x > y).astype(np.int8) - (x < y), out)
+    return out
+
+
+def verified(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key and document, place in it of the first with equal key, size, bytes and `more`, or its own)."""
+    order = np.lexsort((doc, key))
+    k, begin, size, more = key[order], begin[order], size[order], [x[order] for x in more]
+    head = heads(k)
+    first = np.repeat(head, np.diff([*head, len(k)]))
+    at = np.flatnonzero((first != np.arange(len(k))) & (size[first] == size))
+    for x in more:
+        at = at[x[first[at]] == x[at]]
+    at = at[same_bytes(data, begin[at], begin[first[at]], size[at])]
+    out = np.arange(len(k))
+    out[at] = first[at]
+    return order, out
 
 
-def _replies(doc: np.ndarray, context: np.ndarray, mask: np.ndarray, blocks: int, shift: int) -> list[tuple]:
-    """Rows (block of the document + shift; documents, counts, contexts, masks)."""
+def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray, blocks: int, shift: int) -> list[tuple]:
+    """Rows (block of the document + shift; documents, tags, starts, ends) of removed bytes, overlapping spans made one."""
     block = (mix64(doc.view(U)) % U(blocks)).astype(np.int64)
-    order = np.lexsort((context, doc, block))
-    doc, context, mask, block = doc[order], context[order], mask[order], block[order]
-    head, cut = heads(doc, block), heads(block)
-    rows = []
-    for lo, hi in runs(cut, len(doc)):
+    order = np.lexsort((end, start, tag, doc, block))
+    doc, tag, start, end, block = doc[order], tag[order], start[order], end[order], block[order]
+    own = heads(doc, tag)
+    if not len(own):
+        return []
+    # the farthest end so far in the row: rows are laid out one after another so that none reaches the next
+    base = np.repeat(np.concatenate([[0], np.cumsum(np.maximum.reduceat(end, own) + 1)[:-1]]), np.diff([*own, len(doc)]))
+    far = np.maximum.accumulate(base + end)
+    new = np.ones(len(doc), bool)
+    new[1:] = base[1:] + start[1:] > far[:-1]
+    x = np.flatnonzero(new)
+    last = np.append(x[1:], len(doc)) - 1
+    doc, tag, start, end, block = doc[x], tag[x], start[x], (far - base)[last], block[x]
+    return [(int(block[lo]) + shift, _SPANS, doc[lo:hi], tag[lo:hi], start[lo:hi], end[lo:hi], None) for lo, hi in runs(heads(block), len(doc))]
+
+
+def _asked(doc: np.ndarray, name: np.ndarray, blocks: int, shift: int) -> list[tuple]:
+    """Rows (block of the document + shift; documents, counts, names of anchors)."""
+    block = (mix64(doc.view(U)) % U(blocks)).astype(np.int64)
+    order = np.lexsort((doc, block))
+    doc, name, block = doc[order], name[order], block[order]
+    head, rows = heads(doc, block), []
+    for lo, hi in runs(heads(block), len(doc)):
         x = head[np.searchsorted(head, lo) : np.searchsorted(head, hi)]
-        rows.append((int(block[lo]) + shift, _REPLIES, doc[x], np.diff([*x, hi]).astype(np.uint32), context[lo:hi], mask[lo:hi], None))
+        rows.append((int(block[lo]) + shift, _ASKED, doc[x], np.diff([*x, hi]).astype(np.uint32), name[lo:hi], None, None))
     return rows
 
 
@@ -112,52 +173,53 @@ def _by_key(bits: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _deal(bits: int):
-    """Texts to (anchor, context, document) by block of the anchor; one row a task for equal contexts."""
+    """Texts to (anchor, document) by block of the anchor; of equal contexts in a task only the smallest document's."""
     blocks = 1 << bits
 
-    def flush(gram, context, doc):
-        order = np.lexsort((doc, context, gram))
-        gram, context, doc = gram[order], context[order], doc[order]
-        head = heads(gram, context)
-        least = np.repeat(doc[head], np.diff([*head, len(doc)]))
-        rep = (doc > least) & np.concatenate([[True], (doc[1:] != doc[:-1]) | (context[1:] != context[:-1])])
-        out_doc, out_ctx, out_mask = [doc[rep]], [context[rep]], [np.full(rep.sum(), COVERED, np.int64)]
-        gram, context, doc = gram[head], context[head], doc[head]
+    def flush(parts: list[tuple], data: list[np.ndarray]) -> pa.RecordBatch:
+        gram, context, doc, tag, pos, size, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first = verified(np.concatenate(data), begin, size, context, doc, gram)
+        gram, doc, tag, pos, size = gram[order], doc[order], tag[order], pos[order], size[order]
+        later = doc > doc[first]
+        rows = _spans(doc[later], tag[later], pos[later], (pos + size)[later], blocks, blocks)
+        # contexts that stand for themselves count towards a hot anchor; a document enters with each anchor once
+        alone = first[~later] == np.flatnonzero(~later)
+        gram, doc = gram[~later], doc[~later]
+        order = np.lexsort((doc, gram))
+        gram, doc, alone = gram[order], doc[order], alone[order]
         g = heads(gram)
-        size = np.diff([*g, len(gram)])
-        hot = np.repeat(size > TASK_CONTEXTS, size)
-        out_doc.append(doc[hot])
-        out_ctx.append(context[hot])
-        out_mask.append(np.full(hot.sum(), HOT, np.int64))
-        rows = _replies(*(np.concatenate(x) for x in (out_doc, out_ctx, out_mask)), blocks, blocks)
-        marks = gram[g][size > TASK_CONTEXTS]
-        rows += [(int(x >> U(64 - bits)), _MARKS, np.array([x]), None, None, None, None) for x in marks]
-        gram, context, doc = gram[~hot], context[~hot], doc[~hot]
+        many = np.add.reduceat(alone, g) > TASK_CONTEXTS if len(g) else np.zeros(0, bool)
+        hot = np.repeat(many, np.diff([*g, len(gram)]))
+        once = np.zeros(len(gram), bool)
+        once[heads(gram, doc)] = True
+        rows += _asked(doc[hot & once], (gram[hot & once] & NAME) | HOT, blocks, blocks)
+        rows += [(int(x >> U(64 - bits)), _MARKS, np.array([x]), None, None, None, None) for x in gram[g][many]]
+        gram, doc = gram[once & ~hot], doc[once & ~hot]
         order, cuts = _by_key(bits, gram)
-        gram, context, doc = gram[order], context[order], doc[order]
+        gram, doc = gram[order], doc[order]
         for b in np.flatnonzero(np.diff(cuts)):
             lo, hi = cuts[b], cuts[b + 1]
             o = np.argsort(doc[lo:hi], kind="stable")
-            d, x, y = doc[lo:hi][o], gram[lo:hi][o], context[lo:hi][o]
+            d, x = doc[lo:hi][o], gram[lo:hi][o]
             head = heads(d)
-            low = np.concatenate([x.view(np.uint32)[::2], y.view(np.uint32)[::2]])
-            high = np.concatenate([(x >> U(32)).astype(np.uint16), (y >> U(32)).astype(np.uint16)])
-            rows.append((int(b), _ENTRIES, d[head], np.diff([*head, hi - lo]).astype(np.uint32), low, high, None))
+            rows.append((int(b), _ENTRIES, d[head], np.diff([*head, hi - lo]).astype(np.uint32), x.astype(np.uint32), (x >> U(32)).astype(np.uint16), None))
         return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
+        parts, data, held, size = [], [], 0, 0
         for s in text_slices(batches):
             a = Anchors(s.data, s.starts)
-            ids, known = _ids(s)
-            ok = known[a.doc]
-            kept.append((a.gram[ok], a.context[ok], ids[a.doc[ok]]))
-            held += len(kept[-1][0])
+            ids, known, tags = _ids(s)
+            ok = np.flatnonzero(known[a.doc])
+            doc, lo = a.doc[ok], a.lo[ok]
+            parts.append((a.gram[ok], a.context[ok], ids[doc], tags[doc], lo - s.starts[doc], a.hi[ok] + LENGTH - lo, lo + size))
+            data.append(s.data.copy())
+            held, size = held + len(ok), size + len(s.data)
             if held >= BUFFER:
-                yield flush(*(np.concatenate(x) for x in zip(*kept, strict=True)))
-                kept, held = [], 0
+                yield flush(parts, data)
+                parts, data, held, size = [], [], 0, 0
         if held:
-            yield flush(*(np.concatenate(x) for x in zip(*kept, strict=True)))
+            yield flush(parts, data)
 
     return run
 
@@ -166,84 +228,63 @@ def _pass_on(table: pa.Table, blocks: int) -> pa.Table:
     return table.set_column(0, "key", pa.array([table["key"][0].as_py() - blocks] * table.num_rows, pa.int64()))
 
 
-def _compare_contexts(bits: int):
-    """One block of anchors: repeats by equal contexts, and contexts whose bytes are needed."""
+def _meet(bits: int):
+    """One block of anchors: which documents share one with others, and are asked for its contexts."""
     blocks = 1 << bits
 
     def run(table: pa.Table) -> pa.Table:
         if table["key"][0].as_py() >= blocks:
             return _pass_on(table, blocks)
         kind = table["kind"].to_numpy()
-        marks = joined(table.filter(pa.array(kind == _MARKS)), "a", U) & U((1 << 48) - 1)
+        marks = joined(table.filter(pa.array(kind == _MARKS)), "a", U) & NAME
         table = table.filter(pa.array(kind == _ENTRIES))
-        gram, context, doc = [], [], []
-        for a, b, c, d in zip(table["a"], table["b"], table["c"], table["d"], strict=True):
-            low, high = values(c, np.uint32).astype(U), values(d, np.uint16).astype(U)
-            x = low | (high << U(32))
-            gram.append(x[: len(x) // 2])
-            context.append(x[len(x) // 2 :])
-            doc.append(np.repeat(values(a, np.int64), values(b, np.uint32)))
-        none = [np.zeros(0, U)]
-        gram, context, doc = np.concatenate(gram or none), np.concatenate(context or none), np.concatenate(doc or [np.zeros(0, np.int64)])
-        order = np.lexsort((doc, context, gram))
-        gram, context, doc = gram[order], context[order], doc[order]
-        head = heads(gram, context)
-        rep = doc > np.repeat(doc[head], np.diff([*head, len(doc)]))
-        out = [(doc[rep], context[rep], np.full(rep.sum(), COVERED, np.int64))]
-        gram, context, doc = gram[head], context[head], doc[head]
-        g = heads(gram)
-        size = np.diff([*g, len(gram)])
-        differ = np.maximum.reduceat(doc, g) > np.minimum.reduceat(doc, g) if len(g) else np.zeros(0, bool)
-        hot = np.isin(gram[g], marks) | (differ & (size > BLOCK_CONTEXTS))
-        state = np.repeat(np.where(hot, HOT, np.where(differ & (size > 1), NEED, -1)), size)
-        ok = state >= 0
-        out.append((doc[ok], context[ok], state[ok].astype(np.int64)))
-        return pa.Table.from_batches([packed(_replies(*(np.concatenate(x) for x in zip(*out, strict=True)), blocks, 0))])
+        doc = np.repeat(joined(table, "a", np.int64), joined(table, "b", np.uint32))
+        name = joined(table, "c", np.uint32).astype(U) | (joined(table, "d", np.uint16).astype(U) << U(32))
+        order = np.lexsort((doc, name))
+        name, doc = name[order], doc[order]
+        g = heads(name)
+        size = np.diff([*g, len(name)])
+        several = doc[np.append(g[1:], len(doc)) - 1] > doc[g] if len(g) else np.zeros(0, bool)
+        hot = np.isin(name[g], marks) | (several & (size > BLOCK_CONTEXTS))
+        once = np.zeros(len(name), bool)
+        once[heads(name, doc)] = True
+        once &= np.repeat(several | hot, size)
+        return pa.Table.from_batches([packed(_asked(doc[once], (name | np.where(np.repeat(hot, size), HOT, U(0)))[once], blocks, 0))])
 
     return run
 
 
-def _rows_by_doc(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    doc = np.repeat(joined(table, "a", np.int64), joined(table, "b", np.uint32))
-    context, mask = joined(table, "c", U), joined(table, "d", np.int64)
-    order = np.lexsort((context, doc))
-    doc, context, mask = doc[order], context[order], mask[order]
-    head = heads(doc)
-    for lo, hi in runs(head, len(doc)):
-        yield int(doc[lo]), context[lo:hi], mask[lo:hi]
-
-
-_ANSWERS = "id long, covered binary, need binary, hot binary"
+_ANSWERS = "id long, asked binary, spans binary"
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    out = [(d, *((c[m == k].tobytes() or None) for k in (COVERED, NEED, HOT))) for d, c, m in _rows_by_doc(table)]
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 4, types, strict=True)], names=["id", "covered", "need", "hot"])
-
-
-_MASKS = "id long, contexts binary, masks binary"
-
-
-def _masks(table: pa.Table) -> pa.Table:
-    """Masks of a document by context; those of one context from several tasks are united."""
+    """By document: the names of the anchors it is asked for, and (tag, start, end) of what is removed."""
+    kind = table["kind"].to_numpy()
+    asked, spans = table.filter(pa.array(kind == _ASKED)), table.filter(pa.array(kind == _SPANS))
+    doc, name = np.repeat(joined(asked, "a", np.int64), joined(asked, "b", np.uint32)), joined(asked, "c", U)
+    order = np.lexsort((name, doc))
+    doc, name = doc[order], name[order]
+    out = {int(doc[lo]): [name[lo:hi].tobytes(), None] for lo, hi in runs(heads(doc), len(doc))}
+    doc = joined(spans, "a", np.int64)
+    triple = np.stack([joined(spans, x, np.int64) for x in "bcd"], axis=1)
+    order = np.argsort(doc, kind="stable")
+    doc, triple = doc[order], triple[order]
+    for lo, hi in runs(heads(doc), len(doc)):
+        out.setdefault(int(doc[lo]), [None, None])[1] = triple[lo:hi].tobytes()
+    cols = [list(out), [x[0] for x in out.values()], [x[1] for x in out.values()]]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["id", "asked", "spans"])
+
+
+def _listed(column: pa.Array, gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors whose contexts their documents are asked for, those whose windows they are asked for)."""
+    lists = [(U(int(i)) << U(49)) | values(column[int(i)], U) for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))]
+    have = np.concatenate(lists) if lists else np.zeros(0, U)
     out = []
-    for d, c, m in _rows_by_doc(table):
-        h = heads(c)
-        out.append((d, c[h].tobytes(), np.bitwise_or.reduceat(m, h).tobytes()))
-    types = [pa.int64(), pa.binary(), pa.binary()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, types, strict=True)], names=["id", "contexts", "masks"])
-
-
-def _listed(column: pa.Array, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of each anchor, its place in its document's packed sorted contexts, or -1."""
-    out = np.full(len(context), -1)
-    for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)):
-        lo, hi = np.searchsorted(doc, [i, i + 1])
-        have = values(column[int(i)], U)
-        k = np.minimum(np.searchsorted(have, context[lo:hi]), len(have) - 1)
-        out[lo:hi] = np.where(have[k] == context[lo:hi], k, -1)
-    return out
+    for bit in (U(0), HOT):
+        want = (doc.astype(U) << U(49)) | (gram & NAME) | bit
+        k = np.minimum(np.searchsorted(have, want), max(0, len(have) - 1))
+        out.append(np.flatnonzero(have[k] == want) if len(have) else np.zeros(0, np.int64))
+    return out[0], out[1]
 
 
 def _take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -253,47 +294,43 @@ def _take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _send_contexts(bits: int):
-    """Texts with the contexts that are asked of them to packed bytes by block of the anchor (or of the window's hash)."""
+    """Texts with the anchors that are asked of them to packed bytes by block of the anchor (or of the window's hash)."""
     blocks = 1 << bits
 
     def flush(parts: list[tuple]) -> pa.RecordBatch:
-        seg, context, doc, size, off, bit, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        seg, doc, tag, pos, size, off, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, cuts = _by_key(bits, seg)
-        begin = np.concatenate([[0], np.cumsum(size.astype(np.int64))[:-1]])
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         rows = []
         for b in np.flatnonzero(np.diff(cuts)):
             x = order[cuts[b] : cuts[b + 1]]
-            rows.append((int(b), _CONTEXTS, np.concatenate([seg[x], context[x]]), doc[x], np.concatenate([size[x], off[x], bit[x]]), _take(raw, begin[x], size[x].astype(np.int64)), None))
+            rows.append((int(b), _CONTEXTS, seg[x], doc[x], np.concatenate([size[x], off[x]]).astype(np.uint8), _take(raw, begin[x], size[x]), np.concatenate([tag[x].view(np.uint32), pos[x].astype(np.uint32)])))
         return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for s in text_slices(batches):
             a = Anchors(s.data, s.starts)
-            ids, _ = _ids(s)
-            need = np.flatnonzero(_listed(s.column("need"), a.context, a.doc) >= 0)
-            order = need[np.lexsort((a.context[need], a.doc[need]))]
-            need = order[heads(a.doc[order], a.context[order])]  # once a document
+            ids, _, tags = _ids(s)
+            need, hot = _listed(s.column("asked"), a.gram, a.doc)
             if len(need):
-                size = a.hi[need] + LENGTH - a.lo[need]
-                parts.append((a.gram[need], a.context[need], ids[a.doc[need]], size.astype(np.uint8), (a.at - a.lo)[need].astype(np.uint8), np.zeros(len(need), np.uint8), _take(s.data, a.lo[need], size)))
+                doc, lo = a.doc[need], a.lo[need]
+                size = a.hi[need] + LENGTH - lo
+                parts.append((a.gram[need], ids[doc], tags[doc], lo - s.starts[doc], size, a.at[need] - lo, _take(s.data, lo, size)))
                 held += len(need)
-            hot = np.flatnonzero(_listed(s.column("hot"), a.context, a.doc) >= 0)
             if len(hot):
                 count = a.hi[hot] + 1 - a.lo[hot]
-                bit = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                at, own = np.repeat(a.lo[hot], count) + bit, np.repeat(hot, count)
-                seg, doc, ctx = mix64(range_hash(a.prefix, at, at + LENGTH)), ids[a.doc[own]], a.context[own]
-                order = np.lexsort((bit, ctx, doc, seg))
-                seg, doc, ctx, bit, at = seg[order], doc[order], ctx[order], bit[order], at[order]
-                head = heads(seg)
-                later = doc > np.repeat(doc[head], np.diff([*head, len(seg)]))
-                once = np.zeros(len(seg), bool)
-                once[heads(seg, doc, ctx, bit)] = True
-                yield packed(_replies(doc[later & once], ctx[later & once], np.int64(1) << bit[later & once].astype(np.int64), blocks, blocks))
-                x = ~later & once
-                parts.append((seg[x], ctx[x], doc[x], np.full(x.sum(), LENGTH, np.uint8), np.zeros(x.sum(), np.uint8), bit[x].astype(np.uint8), _take(s.data, at[x], np.full(x.sum(), LENGTH))))
-                held += int(x.sum())
+                at = np.repeat(a.lo[hot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                row = np.repeat(a.doc[hot], count)
+                length = np.full(len(at), LENGTH)
+                order, first = verified(s.data, at, length, range_hash(a.prefix, at, at + LENGTH), ids[row])
+                at, row = at[order], row[order]
+                doc, tag, pos = ids[row], tags[row], at - s.starts[row]
+                later = doc > doc[first]
+                yield packed(_spans(doc[later], tag[later], pos[later], pos[later] + LENGTH, blocks, blocks))
+                x = np.flatnonzero(~later)
+                parts.append((mix64(range_hash(a.prefix, at[x], at[x] + LENGTH)), doc[x], tag[x], pos[x], length[x], np.zeros(len(x), np.int64), _take(s.data, at[x], length[x])))
+                held += len(x)
             if held >= CONTEXT_BUFFER:
                 yield flush(parts)
                 parts, held = [], 0
@@ -353,6 +390,22 @@ def merge_sort(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, segment: np
     return order
 
 
+def sorted_windows(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the windows at `at` by place and bytes, whether each differs from the one before it); no hash is relied on."""
+    order = np.argsort(place, kind="stable")
+    order = order[merge_sort(data, prefix, at[order], place[order], LENGTH)]
+    new = np.ones(len(order), bool)
+    same = np.flatnonzero(place[order][1:] == place[order][:-1])
+    how = compare(data, at[order[same]], at[order[same + 1]])
+    if (how > 0).any():  # a collision misled the mergesort
+        w = _words(data)
+        order = np.lexsort((*[w[at + k].astype(U) for k in _offsets()[::-1]], place))
+        same = np.flatnonzero(place[order][1:] == place[order][:-1])
+        how = compare(data, at[order[same]], at[order[same + 1]])
+    new[same[how == 0] + 1] = False
+    return order, new
+
+
 def _sort_windows(bits: int):
     """One block: sorts the windows of its contexts and answers which of them a smaller document has."""
     blocks = 1 << bits
@@ -360,44 +413,50 @@ def _sort_windows(bits: int):
     def run(table: pa.Table) -> pa.Table:
         if table["key"][0].as_py() >= blocks:
             return _pass_on(table, blocks)
-        seg, context, size, off, bit = [], [], [], [], []
-        for a, c in zip(table["a"], table["c"], strict=True):
-            x, y = values(a, U), values(c, np.uint8)
+        size, off, tag, pos = [], [], [], []
+        for c, e in zip(table["c"], table["e"], strict=True):
+            x, y = values(c, np.uint8), values(e, np.uint32)
             n = len(x) // 2
-            seg.append(x[:n])
-            context.append(x[n:])
-            size.append(y[:n])
-            off.append(y[n : 2 * n])
-            bit.append(y[2 * n :])
-        seg, context, size, off, bit = (np.concatenate(x) for x in (seg, context, size, off, bit))
-        size, off, bit = size.astype(np.int64), off.astype(np.int64), bit.astype(np.int64)
-        doc, data = joined(table, "b", np.int64), joined(table, "d", np.uint8)
+            size.append(x[:n])
+            off.append(x[n:])
+            tag.append(y[: 2 * n])
+            pos.append(y[2 * n :])
+        size, off, pos = (np.concatenate(x).astype(np.int64) for x in (size, off, pos))
+        tag = np.concatenate(tag).view(np.int64)
+        seg, doc, data = joined(table, "a", U), joined(table, "b", np.int64), joined(table, "d", np.uint8)
         prefix = prefix_hash(data)
-        count = size - LENGTH + 1
-        own = np.repeat(np.arange(len(seg)), count)
+        begin = np.cumsum(size) - size
+        # equal contexts, byte by byte, stand for one: larger documents lose it whole, the smallest one's repeats fare alike
+        order, first = verified(data, begin, size, range_hash(prefix, begin, begin + size) + mix64(seg), doc, off, seg)
+        seg, doc, tag, pos, size, off, begin = (x[order] for x in (seg, doc, tag, pos, size, off, begin))
+        later = doc > doc[first]
+        out = [(doc[later], tag[later], pos[later], (pos + size)[later])]
+        one = np.flatnonzero(first == np.arange(len(first)))
+        count = size[one] - LENGTH + 1
+        own = np.repeat(one, count)
         i = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-        at = np.repeat(np.cumsum(size) - size, count) + i
         # equal windows have their anchor at the same place
         place = mix64(seg[own] + (off[own] - i + GRAMS).astype(U) * U(0x9E3779B97F4A7C15))
-        order = np.argsort(place)
+        order = np.argsort(place, kind="stable")
         size_of = np.diff([*heads(place[order]), len(order)])
         order = order[np.repeat(size_of > 1, size_of)]
-        place, at, own, i = place[order], at[order], own[order], i[order]
-        order = merge_sort(data, prefix, at, place, LENGTH)
-        place, at, own, i = place[order], at[order], own[order], i[order]
-        same = np.flatnonzero((place[1:] == place[:-1]) & (range_hash(prefix, at[1:], at[1:] + LENGTH) == range_hash(prefix, at[:-1], at[:-1] + LENGTH))) if len(at) else np.zeros(0, np.int64)
-        equal = np.ones(len(same), bool)
-        for k in range(LENGTH):  # hashes can collide, bytes can't
-            equal &= data[at[same] + k] == data[at[same + 1] + k]
-        new = np.ones(len(at), bool)
-        new[same[equal] + 1] = False
+        place, own, i = place[order], own[order], i[order]
+        order, new = sorted_windows(data, prefix, begin[own] + i, place)
+        own, i = own[order], i[order]
         head = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(doc[own], head), np.diff([*head, len(at)])) if len(at) else doc[:0]
-        later = doc[own] > least
-        own, i = own[later], i[later]
-        mask = np.bincount(own, weights=(np.int64(1) << (bit[own] + i)).astype(float), minlength=len(seg)).astype(np.int64)
-        ok = mask > 0
-        return pa.Table.from_batches([packed(_replies(doc[ok], context[ok], mask[ok], blocks, 0))])
+        least = np.repeat(np.minimum.reduceat(doc[own], head), np.diff([*head, len(own)])) if len(own) else doc[:0]
+        lost = np.flatnonzero(doc[own] > least)
+        own, i = own[lost], i[lost]
+        out.append((doc[own], tag[own], pos[own] + i, pos[own] + i + LENGTH))
+        alike = np.flatnonzero(~later & (first != np.arange(len(first))))
+        if len(alike) and len(own):
+            order = np.argsort(own, kind="stable")
+            own, i = own[order], i[order]
+            lo, hi = np.searchsorted(own, first[alike]), np.searchsorted(own, first[alike], side="right")
+            who = np.repeat(alike, hi - lo)
+            x = i[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(who))]
+            out.append((doc[who], tag[who], pos[who] + x, pos[who] + x + LENGTH))
+        return pa.Table.from_batches([packed(_spans(*(np.concatenate(x) for x in zip(*out, strict=True)), blocks, 0))])
 
     return run
 
@@ -408,24 +467,16 @@ _OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigi
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for s in text_slices(batches):
-        covered, partial = s.column("covered"), s.column("contexts")
-        touched = covered.is_valid().to_numpy(zero_copy_only=False) | partial.is_valid().to_numpy(zero_copy_only=False)
-        gone = np.zeros(len(s.data) + 1, np.int32)
-        if touched.any():
-            a = Anchors(s.data, s.starts)
-            whole = _listed(covered, a.context, a.doc) >= 0
-            np.add.at(gone, a.lo[whole], 1)
-            np.add.at(gone, a.hi[whole] + LENGTH, -1)
-            place = _listed(partial, a.context, a.doc)
-            masks = s.column("masks")
-            for i in np.flatnonzero(partial.is_valid().to_numpy(zero_copy_only=False)):
-                lo, hi = np.searchsorted(a.doc, [i, i + 1])
-                x = lo + np.flatnonzero((place[lo:hi] >= 0) & ~whole[lo:hi])
-                m = values(masks[int(i)], np.int64)[place[x]]
-                r, b = np.nonzero((m[:, None] >> np.arange(GRAMS)) & 1)
-                w = a.lo[x[r]] + b
-                np.add.at(gone, w, 1)
-                np.add.at(gone, w + LENGTH, -1)
+        gone, touched = np.zeros(len(s.data) + 1, np.int32), np.zeros(len(s), bool)
+        tags = s.column("tag").to_numpy(zero_copy_only=False)
+        for name in ("spans", "more"):
+            column = s.column(name)
+            for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                told = values(column[i], np.int64).reshape(-1, 3)
+                told = told[told[:, 0] == tags[i], 1:] + s.starts[i]  # not those of other rows that repeat the id
+                np.add.at(gone, told[:, 0], 1)
+                np.add.at(gone, told[:, 1], -1)
+                touched[i] |= len(told) > 0
         lost = np.cumsum(gone[:-1]) > 0
         n_removed, spans, kept = [], [], []
         for i, (lo, hi) in enumerate(zip(s.starts[:-1], s.starts[1:], strict=True)):
@@ -446,27 +497,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, n_bytes, n_removed, spans, kept`` for each row: what is removed, and the bytes that stay.
 
     * null or empty texts, and those below LENGTH bytes, lose nothing.
-    * rows that repeat an id aren't compared with each other and lose what smaller ids have.
+    * very long texts: a text is looked at whole by one task, which holds some tens of bytes a byte of it.
+    * rows that repeat an id aren't compared with each other and lose what smaller ids have; they are
+      told apart by a 64-bit hash of their texts.
     * null ids: the row loses nothing and takes nothing from others.
     * repeats within a document stay.  Empty table: empty result; other columns are ignored.
     * `kept` can begin or end within a character, as matches are of bytes.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs) / BLOCK_BYTES))), MIN_BITS, MAX_BITS))
-    compared = d.mapInArrow(_deal(bits), PACKED).groupBy("key").applyInArrow(_compare_contexts(bits), PACKED)
-    answers = checkpoint(compared.groupBy("key").applyInArrow(_answers, _ANSWERS))
-    del compared
+    bits = block_bits(d, "text", BLOCK_BYTES, MIN_BITS, MAX_BITS)
+    d = d.withColumn("tag", F.xxhash64("text"))
+    met = d.mapInArrow(_deal(bits), PACKED).groupBy("key").applyInArrow(_meet(bits), PACKED)
+    answers = checkpoint(met.groupBy("key").applyInArrow(_answers, _ANSWERS))
+    del met
     release(docs.sparkSession)
-    asked = answers.where("need IS NOT NULL OR hot IS NOT NULL").select("id", "need", "hot")
-    sent = d.join(few(asked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "need", "hot").mapInArrow(_send_contexts(bits), PACKED)
+    asked = answers.where("asked IS NOT NULL").select("id", "asked")
+    sent = d.join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "tag", "text", "asked").mapInArrow(_send_contexts(bits), PACKED)
     windows = sent.groupBy("key").applyInArrow(_sort_windows(bits), PACKED)
-    masks = checkpoint(windows.groupBy("key").applyInArrow(_masks, _MASKS))
+    more = checkpoint(windows.groupBy("key").applyInArrow(_answers, _ANSWERS).select("id", F.col("spans").alias("more")))
     del sent, windows
     release(docs.sparkSession)
-    covered = answers.where("covered IS NOT NULL").select("id", "covered")
-    told = covered.join(masks, "id", "full")
+    told = answers.where("spans IS NOT NULL").select("id", "spans").join(more, "id", "full")
     out = d.join(told, F.col("doc_id") == F.col("id"), "left")
-    return out.select("doc_id", "text", "covered", "contexts", "masks").mapInArrow(_remove, _OUT)
+    return out.select("doc_id", "tag", "text", "spans", "more").mapInArrow(_remove, _OUT)
 
 
 def digest(result: DataFrame) -> DataFrame:
