@@ -7,7 +7,10 @@ new phrase starts.  c phrases over n bytes against a sample of N bytes cost
 about c * log2(N) / n bits a byte; the cheapest language wins.
 
 Many pieces of many documents walk all automata in lockstep, so a step of the
-parse is one table look-up per piece and language in numpy.
+parse is one table look-up per piece and language in numpy.  Where a phrase
+crosses into a piece, that piece is walked again from the state in which the
+one before it ended, until both walks are in the same state: the phrases are
+those of one walk over the whole text.
 """
 
 from __future__ import annotations
@@ -23,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, raw_strings, text_slices
 
-#: Bounds of the training sample: normalised bytes a language, documents a language, characters a document.
-TRAIN_BYTES, TRAIN_DOCS, TRAIN_CHARS = 40_000, 80, 4_000
-#: A text is parsed in pieces of this many normalised bytes; a phrase never crosses pieces.
-PIECE = 512
+#: Bounds of the training sample: normalised bytes a language, passages a language (one of a document, about), characters a passage.
+TRAIN_BYTES, TRAIN_PASSAGES, PASSAGE_CHARS = 40_000, 80, 520
+#: Texts are walked in pieces of this many normalised bytes, and so many pieces at once.
+PIECE, PIECES = 512, 4_096
 UNKNOWN = "und"
 _GAP = 0x20
 
@@ -109,23 +112,57 @@ class Automata:
         return table
 
     def phrases(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Phrases of each text in each language, as [language, text]."""
+        """Phrases of each text in each language, as [language, text]; a phrase crosses pieces like any other bytes."""
         size = np.diff(starts)
         pieces = -(-size // PIECE)
         first = np.concatenate([[0], np.cumsum(pieces)])
-        flat = np.full(first[-1] * PIECE, self.pad, np.uint8)
-        flat[np.arange(len(data)) + np.repeat(first[:-1] * PIECE - starts[:-1], size)] = self.code[data]
-        steps = np.ascontiguousarray(flat.reshape(-1, PIECE).T)
-        state = np.repeat(np.array(self.roots, np.int64)[:, None], steps.shape[1], axis=1)
-        count = np.zeros(state.shape, np.int32)
-        for row in [*steps, np.full(steps.shape[1], self.pad, np.uint8)]:
-            cell = self.table[state * self.width + row]
-            count += cell & 3
-            state = (cell >> 2).astype(np.int64)
-        total = np.zeros((len(count), first[-1] + 1), np.int64)
-        np.cumsum(count, axis=1, out=total[:, 1:])
+        inner = np.ones(first[-1], bool)  # pieces that go on from the one before
+        inner[first[:-1][pieces > 0]] = False
+        last = np.append(~inner[1:], True)[: len(inner)]
+        total = np.zeros((len(self.roots), first[-1] + 1), np.int64)
+        state = np.array(self.roots, np.int64)
+        for lo in range(0, int(first[-1]), PIECES):
+            hi = min(lo + PIECES, int(first[-1]))
+            begin, end = np.searchsorted(first, [lo, hi], side="right") - 1
+            flat = np.full((hi - lo) * PIECE, self.pad, np.uint8)
+            # the bytes of pieces lo..hi: of the texts from `begin` on, perhaps with parts of the first and the last
+            a = starts[begin] + (lo - first[begin]) * PIECE
+            b = min(starts[end] + (hi - first[end]) * PIECE, starts[end + 1]) if end < len(size) else starts[-1]
+            at = np.arange(a, b)
+            text = np.searchsorted(starts, at, side="right") - 1
+            flat[(first[text] - lo) * PIECE + at - starts[text]] = self.code[data[a:b]]
+            count, state = self._walk(np.ascontiguousarray(flat.reshape(-1, PIECE).T), inner[lo:hi], last[lo:hi], state)
+            total[:, lo + 1 : hi + 1] = count
+        np.cumsum(total, axis=1, out=total)
         return total[:, first[1:]] - total[:, first[:-1]]
 
+    def _walk(self, steps: np.ndarray, inner: np.ndarray, last: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that end in each piece, state after the last); `state` is that before the first, if it goes on."""
+        roots = np.array(self.roots, np.int64)[:, None]
+        cells = np.empty((len(steps), len(roots), steps.shape[1]), np.int32)
+        now = np.repeat(roots, steps.shape[1], axis=1)
+        for k, row in enumerate(steps):
+            cells[k] = self.table[now * self.width + row]
+            now = (cells[k] >> 2).astype(np.int64)
+        entry = np.repeat(roots, steps.shape[1], axis=1)
+        while True:
+            before = np.concatenate([state[:, None], now[:, :-1]], axis=1)
+            lang, piece = np.nonzero((before != entry) & inner)
+            if not len(piece):
+                break
+            entry[lang, piece] = at = before[lang, piece]
+            for k in range(len(steps)):
+                cell = self.table[at * self.width + steps[k, piece]]
+                new = (cell >> 2) != (cells[k, lang, piece] >> 2)
+                cells[k, lang, piece] = cell
+                lang, piece, at = lang[new], piece[new], (cell[new] >> 2).astype(np.int64)
+                if not len(piece):
+                    break
+            now[lang, piece] = at
+        count = (cells & 3).sum(axis=0, dtype=np.int64)
+        count[:, last] += now[:, last] != roots  # a text's last phrase ends with it
+        return count, now[:, -1]
+
 
 @lru_cache(maxsize=2)
 def _automata(samples: tuple[bytes, ...]) -> Automata:
@@ -135,18 +172,22 @@ def _automata(samples: tuple[bytes, ...]) -> Automata:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Training text by language from labelled rows; the bounds are at the top of this file.
 
-    Documents are drawn by a hash of their id at a rate that depends on how
-    many each language has, so no rows move between executors.
+    Documents are drawn by a hash of id and text at a rate that depends on how
+    many each language has; each gives a passage from a place in its whole text
+    that a hash chooses, and equal passages count once.  Rows with a null id,
+    text or language aren't learned from.
     """
     d = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("i IS NOT NULL AND t IS NOT NULL AND l IS NOT NULL")
     counts = {r["l"]: r["n"] for r in d.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    draw = F.pmod(F.xxhash64("i", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, TRAIN_DOCS / n)))])
-    rows = d.where(draw < F.element_at(rate, F.col("l"))).select("l", draw.alias("draw"), F.substring("t", 1, TRAIN_CHARS).alias("t")).collect()
+    draw = F.pmod(F.xxhash64("i", "t", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64("t", F.lit("place")), F.greatest(F.length("t") - PASSAGE_CHARS, F.lit(0)) + 1) + 1
+    rate = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, TRAIN_PASSAGES / n)))])
+    drawn = d.where(draw < F.element_at(rate, F.col("l"))).select("l", F.substring("t", place.cast("int"), F.lit(PASSAGE_CHARS)).alias("t"))
+    rows = drawn.distinct().withColumn("h", F.xxhash64("t")).collect()
     texts: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
-    for r in sorted(rows, key=lambda r: (r["l"], r["draw"], r["t"])):
+    for r in sorted(rows, key=lambda r: (r["l"], r["h"], r["t"])):
         raw = np.frombuffer(r["t"].lower().encode(), np.uint8)
         texts[r["l"]].append(normalise(raw, np.array([0, len(raw)]))[0].tobytes())
     # equal shares, so that one mixed or repetitive document doesn't shape the sample
@@ -160,6 +201,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
     * null text, or one without a letter: 'und' with score 0.
     * ties go to the language first in order; without any training text all are 'und'.
     * a null id is passed on; repeated rows get equal answers; very long texts are parsed whole.
+    * empty table: empty result; other columns are ignored, whatever their names.
     """
     names, samples = list(model), tuple(model.values())
 
