@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, TextSlice, checkpoint, few, lean, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
@@ -39,8 +39,9 @@ U = np.uint64
 HASH_BITS = 52
 #: Input bytes for each block of columns, and the bits of the smallest and largest number of blocks.
 BLOCK_BYTES, MIN_BITS, MAX_BITS = 6 << 20, 6, 24
-#: The sample from which very common columns are taken: documents, and how many of them hold such a column.
-SAMPLE_DOCS, SAMPLE_HITS = 2_000, 8
+#: The sample from which very common columns are taken: documents, how many of them hold such a column, and the most
+#: columns known to all tasks.  Which columns these are changes how they travel, not what links.
+SAMPLE_DOCS, SAMPLE_HITS, COMMON_COLUMNS = 2_000, 8, 100_000
 #: Rows of a group that one task looks at (twice as many for a pair of blocks), and rows that all blocks of a group share, about.
 GROUP_ROWS, HUBS = 500, 16
 #: Shingles buffered by a task before they are dealt.
@@ -155,7 +156,8 @@ def _deal(bits: int, blocks: int, common: np.ndarray, k: int):
             kept.append((mark[first], n[first], h[np.repeat(first, n)]))
             held += int(n[first].sum())
             lost = int((~known).sum())
-            doc = [((1 << bits) + blocks + int(s.starts[-1]) % blocks, DOCS, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), n.astype(np.uint32), mark, known if lost else None, None)]
+            tags = s.column("tag").to_numpy(zero_copy_only=False)
+            doc = [((1 << bits) + blocks + int(s.starts[-1]) % blocks, DOCS, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), n.astype(np.uint32), mark, known if lost else None, tags)]
             yield packed(doc)
             if held >= BUFFER:
                 o, c, x = (np.concatenate(z) for z in zip(*kept, strict=True))
@@ -207,19 +209,19 @@ def _shared(bits: int, blocks: int):
     return run
 
 
-_ROWS = "doc_id long, n long, mark long, columns binary, frequencies binary"
+_ROWS = "doc_id long, n long, mark long, columns binary, frequencies binary, tag long"
 
 
 def _survivors(blocks: int, percent: int):
     """Rows with enough shared columns, and the documents as they are."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("columns", pa.binary()), ("frequencies", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.int64()), ("columns", pa.binary()), ("frequencies", pa.binary()), ("tag", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         if table["key"][0].as_py() >= blocks:
             ids, n, mark = joined(table, "a", np.int64), joined(table, "b", np.uint32), joined(table, "c", np.int64)
             known = np.concatenate([values(d, bool) if d.is_valid else np.ones(len(values(a, np.int64)), bool) for a, d in zip(table["a"], table["d"], strict=True)])
             none = pa.nulls(len(ids), pa.binary())
-            return pa.Table.from_arrays([pa.array(ids, mask=~known), pa.array(n.astype(np.int64)), pa.array(mark), none, none], schema=schema)
+            return pa.Table.from_arrays([pa.array(ids, mask=~known), pa.array(n.astype(np.int64)), pa.array(mark), none, none, pa.array(joined(table, "e", np.int64))], schema=schema)
         owner, n, count = joined(table, "a", np.int64), joined(table, "b", np.uint32), joined(table, "c", np.uint32)
         h, df = joined(table, "d", np.uint64), joined(table, "e", np.uint16)
         row = np.repeat(np.arange(len(owner)), count)
@@ -232,8 +234,8 @@ def _survivors(blocks: int, percent: int):
         head = heads(o)
         size = np.diff([*head, len(o)])
         full = n[row[head]].astype(np.int64)
-        out = [(None, int(full[i]), int(o[head[i]]), h[head[i] : head[i] + size[i]].tobytes(), df[head[i] : head[i] + size[i]].tobytes()) for i in np.flatnonzero(size >= need(full, percent))]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, schema.types, strict=True)], schema=schema)
+        out = [(None, int(full[i]), int(o[head[i]]), h[head[i] : head[i] + size[i]].tobytes(), df[head[i] : head[i] + size[i]].tobytes(), None) for i in np.flatnonzero(size >= need(full, percent))]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -374,11 +376,11 @@ def common_columns(docs: DataFrame, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([shingle_sets(s, k)[0].tobytes()], pa.binary())], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(s, k)[0].view(np.int64))], names=["h"])
 
-    got = [np.frombuffer(r["h"], np.uint64) for r in sample.mapInArrow(run, "h binary").collect()]
-    h, count = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, U), np.zeros(0))
-    return h[count >= SAMPLE_HITS]
+    hits = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_HITS)
+    got = hits.orderBy(F.desc("n"), "h").limit(COMMON_COLUMNS).select("h").toArrow()["h"].to_numpy()
+    return np.sort(got).astype(U)
 
 
 def _verified(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
@@ -406,16 +408,20 @@ def _remaining(large: DataFrame, linked: DataFrame) -> DataFrame:
     return outside.unionByName(others).select("vertex", "component", F.xxhash64("component", "part", "shard", F.lit("part")).alias("task"), "rest")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, tag: Column | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; 100 * overlap >= percent * union links two documents.
 
+    With a long `tag` of each row, also ``tag`` and ``group``: rows with shingles
+    have equal groups if and only if links connect them, whatever their ids.
+
     * null or empty text, or one without words: no shingles, a component of its own.
     * fewer than k words: the whole sequence is the one shingle.
+    * very long texts: a text is looked at whole by one task.
     * null ids: counted, linked with nothing, component null.
     * rows that repeat an id are compared like any others and carry that id.
     * empty table: empty result; other columns are ignored.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(0).cast("long") if tag is None else tag).alias("tag"))
     bits = block_bits(d, "text", BLOCK_BYTES, MIN_BITS, MAX_BITS)
     blocks = 1 << bits
     dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k), k), PACKED)
@@ -437,11 +443,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         links = checkpoint(links.union(verified(_blocks(large))))
         links = links.union(verified(_remaining(large, connected_components(links))))
     linked = connected_components(links).select(F.col("vertex").alias("mark"), "component")
-    docs_ = rows.where("columns IS NULL").select("doc_id", "n", "mark")
+    docs_ = rows.where("columns IS NULL").select("doc_id", "n", "mark", "tag")
     classes = docs_.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = classes.join(linked, "mark", "left").where("copies > 1 OR component IS NOT NULL")
     classes = checkpoint(classes.select("mark", "rep", F.coalesce("component", "mark").alias("component")))
     lowest = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = classes.join(lowest, "component").select("mark", "component_id")
+    named = classes.join(lowest, "component").select("mark", "component_id", "component")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")))
-    return docs_.join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    more = [] if tag is None else ["tag", F.coalesce("component", "mark").alias("group")]
+    return docs_.join(named, "mark", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *more)
