@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TextSlice, held_out, mix64, prefix_hash, range_hash, sigmoid, text_slices, word_bounds
+from .common import TextSlice, checkpoint, held_out, mix64, prefix_hash, range_hash, sigmoid, text_slices, word_bounds
 from .labelled import labelled_sample
 
 #: Bounds of the training sample: labelled documents, and bytes of all; fewer documents are drawn where these are long.
@@ -106,91 +106,129 @@ class Model:
         return -np.expm1(-none), (first, last, doc), z
 
 
-def _document_counts(slices: list[TextSlice], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, toxic documents, other documents with each), merged slice by slice."""
-    h, counts, docs = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), 0
-    for s in slices:
-        at, f = features(s)
-        order = np.argsort(f, kind="stable")
-        f, doc = f[order], np.searchsorted(s.starts, at[order], side="right") - 1
-        order = np.lexsort((doc, f))
-        f, doc = f[order], doc[order]
-        once = np.ones(len(f), bool)
-        once[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
-        f, toxic = f[once], labels[docs + doc[once]] > 0
-        new, inv = np.unique(f, return_inverse=True)
-        here = np.stack([np.bincount(inv[toxic], minlength=len(new)), np.bincount(inv[~toxic], minlength=len(new))], axis=1)
-        both, inv = np.unique(np.concatenate([h, new]), return_inverse=True)
-        total = np.zeros((len(both), 2), np.int64)
-        np.add.at(total, inv, np.concatenate([counts, here]))
-        h, counts, docs = both, total, docs + len(s)
-    return h, counts[:, 0], counts[:, 1]
-
-
-def train(slices: list[TextSlice], labels: np.ndarray) -> Model:
-    """`labels`: of the documents of all slices in order.  Without both classes every score is the bias's."""
-    docs = sum(map(len, slices))
-    if not docs or not 0 < labels.sum() < docs:
+@dataclass
+class Bags:
+    """Training documents as bags of sentences; equal sentences of a document are one row that counts `times`."""
+
+    toxic: np.ndarray  # of each document
+    doc: np.ndarray  # of each row of sentences
+    times: np.ndarray
+    rows: np.ndarray  # (row, feature) of every known feature
+    cols: np.ndarray
+
+
+def train(bags: Bags, hashes: np.ndarray, odds: np.ndarray) -> Model:
+    """Noisy-or of logistic sentences by gradient descent.  Without both classes every score is the bias's."""
+    docs, y = len(bags.toxic), bags.toxic
+    if not y.any() or y.all():
         return Model.of(np.zeros(0, np.uint64), np.zeros(0), -12.0)
-    h, a, b = _document_counts(slices, labels)
-    pos, neg = labels.sum(), docs - labels.sum()
-    odds = np.log((a + 0.5) / (pos - a + 0.5)) - np.log((b + 0.5) / (neg - b + 0.5))
-    z = np.where(a >= MIN_DOCS, odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), 0)
-    keep = np.flatnonzero(z >= MIN_Z)
-    keep = np.sort(keep[np.argsort(-z[keep], kind="stable")][:MAX_FEATURES])
-    sent_doc, rows, cols, base, docs = [], [], [], 0, 0
-    known = h[keep]
-    for s in slices:
-        first, _, doc = sentences(s)
-        at, f = features(s)
-        k = np.minimum(np.searchsorted(known, f), max(0, len(known) - 1))
-        on = known[k] == f if len(known) else np.zeros(len(f), bool)
-        rows.append(np.searchsorted(first, at[on], side="right") - 1 + base)
-        cols.append(k[on])
-        sent_doc.append(doc + docs)
-        base, docs = base + len(first), docs + len(s)
-    sent_doc, rows, cols = np.concatenate(sent_doc), np.concatenate(rows), np.concatenate(cols)
-    w, bias = np.clip(odds[keep], 0, 4), -8.0
+    doc, times, rows, cols, base = bags.doc, bags.times, bags.rows, bags.cols, len(bags.doc)
+    w, bias = np.clip(odds, 0, 4), -8.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    y = labels[np.arange(docs)] > 0
-    more = np.clip(CLEAN_SENTENCES / max(1, np.count_nonzero(~y[sent_doc])), 1, CLEAN_WEIGHT)
+    more = np.clip(CLEAN_SENTENCES / max(1, times[~y[doc]].sum()), 1, CLEAN_WEIGHT)
     for t in range(1, STEPS + 1):
         logit = bias + np.bincount(rows, weights=w[cols], minlength=base)
         p = sigmoid(logit)
-        none = np.bincount(sent_doc, weights=np.logaddexp(0, logit), minlength=docs)
+        none = np.bincount(doc, weights=times * np.logaddexp(0, logit), minlength=docs)
         pull = np.where(y, -1 / np.maximum(np.expm1(np.minimum(none, 50)), 1e-4), more)  # d loss / d log-chance of none
-        g = p * pull[sent_doc]
+        g = p * pull[doc] * times
         grad = np.append(np.bincount(cols, weights=g[rows], minlength=len(w)) + DECAY * docs * w / max(1, len(w)), g.sum()) / docs
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], min(-6.0, bias - step[-1])
     middle = np.log(THRESHOLD / (1 - THRESHOLD))
-    return Model.of(h[keep], STRETCH * w, float(middle + STRETCH * (bias - middle)))
+    return Model.of(hashes, STRETCH * w, float(middle + STRETCH * (bias - middle)))
+
+
+def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct feature of each document, with whether that is toxic."""
+    for s in text_slices(batches, transform=_lower):
+        at, f = features(s)
+        doc = np.searchsorted(s.starts, at, side="right") - 1
+        order = np.lexsort((doc, f))
+        f, doc = f[order], doc[order]
+        once = np.ones(len(f), bool)
+        once[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
+        toxic = s.column("label").to_numpy(zero_copy_only=False) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(f[once].view(np.int64)), pa.array(toxic[doc[once]])], names=["h", "toxic"])
+
+
+def known_features(sample: DataFrame, pos: int, neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, log odds) of the features that mark toxic documents best, counted by the executors."""
+    counts = sample.mapInArrow(_document_features, "h long, toxic boolean").groupBy("h").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+    part = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(n) - F.col(c) + 0.5))
+    odds = counts.where(F.col("a") >= MIN_DOCS).select("h", (part("a", pos) - part("b", neg)).alias("odds"), "a", "b")
+    z = F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    got = odds.withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "h").limit(MAX_FEATURES).select("h", "odds").toArrow()
+    h = got["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], got["odds"].to_numpy()[order]
+
+
+def _bags(known: np.ndarray):
+    """One row a document: its label, and its distinct sentences as sets of known features with how often each occurs."""
+    words = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in text_slices(batches, transform=_lower):
+            first, _, doc = sentences(s)
+            at, f = features(s)
+            k = np.minimum(np.searchsorted(known, f), max(0, len(known) - 1))
+            on = known[k] == f if len(known) else np.zeros(len(f), bool)
+            sent, k = np.searchsorted(first, at[on], side="right") - 1, k[on]
+            order = np.lexsort((k, sent))
+            sent, k = sent[order], k[order]
+            cuts = np.searchsorted(sent, np.arange(len(first) + 1))
+            seen: list[dict[bytes, int]] = [{} for _ in range(len(s))]
+            plain = np.bincount(doc[np.diff(cuts) == 0], minlength=len(s))
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                bag = seen[doc[i]]
+                name = k[cuts[i] : cuts[i + 1]].astype(np.int32).tobytes()
+                bag[name] = bag.get(name, 0) + 1
+            times, sizes, cols = [], [], []
+            for i, bag in enumerate(seen):
+                names = sorted(bag)
+                times.append([int(plain[i]), *(bag[x] for x in names)])
+                sizes.append([0, *(len(x) // 4 for x in names)])
+                cols.append(np.frombuffer(b"".join(names), np.int32))
+            yield pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("label"), pa.array(times, words), pa.array(sizes, words), pa.array(cols, words)], names=["doc_id", "label", "times", "sizes", "cols"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable=None, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
     """Fits on about `rows` labelled documents and `size` bytes at most, drawn by hashes of the id whatever their length.
 
     At least one of 1,024 parts of the drawn ids is taken, even if it is larger.
+    No text reaches the driver: features are counted by the executors, and a
+    sentence arrives as the known features in it.
     """
     sample = labelled_sample(docs, labels, "toxic", F.lit(True) if usable is None else usable, rows, "toxic")
-    sample = sample.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("size")), F.lit(1024)).alias("part"))
+    sample = checkpoint(sample.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("size")), F.lit(1024)).alias("part")))
     sizes = sample.groupBy("part").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("part").collect()
     fits = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), size, side="right"))
     if fits < len(sizes):
         sample = sample.where(F.col("part") <= sizes[max(0, fits - 1)]["part"])
-    got = sample.drop("part").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    slices = list(text_slices(iter(got.to_batches()), transform=_lower))
-    return train(slices, (got["label"].to_numpy() > 0).astype(np.int64))
+    pos, total = sample.agg(F.count_if(F.col("label") > 0), F.count("*")).first()
+    h, odds = known_features(sample, pos, total - pos) if 0 < pos < total else (np.zeros(0, np.uint64), np.zeros(0))
+    got = sample.mapInArrow(_bags(h), f"doc_id {sample.schema['doc_id'].dataType.simpleString()}, label int, times array<int>, sizes array<int>, cols array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    flat = lambda c: np.asarray(got[c].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.int64) if got.num_rows else np.zeros(0, np.int64)
+    lengths = got["times"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if got.num_rows else np.zeros(0, np.int64)
+    times, each = flat("times"), flat("sizes")
+    bags = Bags(got["label"].to_numpy() > 0, np.repeat(np.arange(got.num_rows), lengths), times.astype(float), np.repeat(np.arange(len(times)), each), flat("cols"))
+    return train(bags, h, odds)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted, offending`` for each row; only the text is looked at.
 
     `offending` lists the sentences whose own chance reaches the threshold as
-    (start, end, p), in bytes of the lower-cased UTF-8 text.  Null and empty
-    texts have no sentence and score 0; null ids are passed on; repeated rows
-    get equal scores.
+    (start, end, p), in bytes of the lower-cased UTF-8 text.
+
+    * null and empty texts: no sentence, score 0.
+    * very long texts: scored whole, and length alone adds nothing.
+    * null ids are passed on; repeated rows get equal scores; ties at the threshold count as toxic.
+    * empty table: empty result; other columns are ignored, whatever their names.
     """
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
@@ -209,7 +247,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose score is below the threshold."""
+    """The rows of `docs`, with all their columns whatever their names, whose score is below the threshold.
+
+    * null and empty texts score 0 and stay as they are; so do rows with a null id.
+    * equal rows stay or go together; very long texts are scored whole.  Empty table: empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = np.unpackbits(model.sieve).astype(bool)
