@@ -1,11 +1,13 @@
 """Embedding near-dedup: spherical k-means cells and blocked cosine products.
 
-Equal vectors are merged first.  Centroids are fitted on a bounded sample;
-every vector has a home cell, and also visits cells whose centroid is almost
-as near.  Within a cell, split into blocks if it is large, cosines are taken
-as matrix products in double precision, so no link below the threshold is
-ever made; a link is missed only if neither vector visits the other's home.
-Links are counted in place and leave a task as counts and a spanning forest.
+Equal vectors are merged first.  Centroids are fitted on a bounded sample, and
+where one level of cells would be too coarse, each cell is divided again by
+centroids fitted on a sample of its own vectors.  Every vector has a home cell
+and also visits cells whose centroid is almost as near.  Within a cell, split
+into blocks if it is large, cosines are taken as matrix products in double
+precision, so no link below the threshold is ever made; a link is missed only
+if neither vector visits the other's home.  Links are counted in place and
+leave a task as counts and a spanning forest.
 """
 
 from __future__ import annotations
@@ -16,16 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from .common import checkpoint
+from .common import checkpoint, release
 from .components import connected_components, forest
 
-#: Vectors that the cells are fitted on at most, vectors wanted in a cell, and the most cells.
-FIT_ROWS, CELL_ROWS, MAX_CELLS, ROUNDS = 20_000, 400, 4_096, 10
-#: A vector visits cells whose centroid has a cosine at most this much below its home's.
-MARGIN = 0.14
+#: Numbers in the sample that the cells are fitted on, and rounds of k-means.
+FIT_VALUES, ROUNDS = 2_000_000, 10
+#: Vectors wanted in a cell, the most cells of the first level and of the second in each of these, and the sample for one of these.
+CELL_ROWS, MAX_TOP, MAX_SUB, SUB_ROWS = 2_000, 1_024, 64, 16
+#: A vector visits cells whose centroid has a cosine at most this much below its home's.  2.0 visits all cells: exact, at the cost of all pairs of cells.
+MARGIN = 0.08
 #: Vectors in a block of a cell.
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 4_096
 THRESHOLD = 0.9
 
 
@@ -38,7 +43,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def fit_cells(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     """Unit centroids [cell, dimension] of unit rows by spherical k-means."""
     rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), size=min(k, len(x)), replace=False)]
+    c = x[np.sort(rng.choice(len(x), size=min(k, len(x)), replace=False))]
     for _ in range(ROUNDS):
         home = np.argmax(x @ c.T, axis=1)
         total = np.zeros_like(c)
@@ -48,63 +53,150 @@ def fit_cells(x: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     return c
 
 
-_CELLS = "vec long, copies long, home int, cells array<int>, x binary"
+class Cells:
+    """Cells of vectors of one length: top centroids, and for each of them perhaps its own; numbered from `base`."""
+
+    def __init__(self, base: int, top: np.ndarray):
+        self.base, self.top, self.sub = base, top, [None] * len(top)
+
+    def number(self) -> int:
+        """Gives the cells their numbers; returns the next free one."""
+        size = [1 if s is None else len(s) for s in self.sub]
+        self.first = self.base + np.concatenate([[0], np.cumsum(size)])
+        return int(self.first[-1])
+
+    def visits(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(home of each unit row; row and cell of each visit, home included, by row and cell)."""
+        sim = x @ self.top.T
+        row, top = np.nonzero(sim >= sim.max(axis=1, keepdims=True) - margin)
+        rows, cells, sims = [], [], []
+        order = np.argsort(top, kind="stable")
+        row, top = row[order], top[order]
+        for t in np.unique(top):
+            r = row[slice(*np.searchsorted(top, [t, t + 1]))]
+            if self.sub[t] is None:
+                near = sim[r, t][:, None]
+            else:
+                near = x[r] @ self.sub[t].T
+            i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+            rows.append(r[i])
+            cells.append(self.first[t] + j)
+            sims.append(near[i, j])
+        row, cell, near = np.concatenate(rows), np.concatenate(cells), np.concatenate(sims)
+        best = np.full(len(x), -np.inf)
+        np.maximum.at(best, row, near)
+        order = np.lexsort((cell, row))
+        row, cell, near = row[order], cell[order], near[order]
+        at_home = np.flatnonzero(near == best[row])
+        home = np.zeros(len(x), np.int64)
+        home[row[at_home][::-1]] = cell[at_home][::-1]  # of equally near ones the first
+        ok = near >= best[row] - margin
+        return home, row[ok], cell[ok]
+
+
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each length of the vectors of a column of lists without nulls."""
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    begin = np.cumsum(size) - size
+    for dim in np.unique(size):
+        at = np.flatnonzero(size == dim)
+        yield at, flat[begin[at][:, None] + np.arange(dim)]
+
+
+def _divide(dims: dict[int, Cells], parts: int):
+    """A sample of one top cell to the centroids of its second level."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        top = table["top"][0].as_py()
+        ((_, x),) = _matrices(table["x"].chunk(0))
+        order = np.argsort(table["vertex"].to_numpy())
+        c = fit_cells(unit_rows(x[order]), parts)
+        return pa.Table.from_arrays([pa.array([top]), pa.array([x.shape[1]]), pa.array([c.astype(np.float64).tobytes()], pa.binary())], names=["top", "dim", "c"])
+
+    return run
 
 
-def _assign(cells: dict[int, tuple[int, np.ndarray]], margin: float):
-    """Vectors to (home, sorted visited cells); cells of different dimensions are numbered apart."""
+def _homes(dims: dict[int, Cells]):
+    """(vertex, top cell, x): used to draw the samples of the second level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("x").to_pylist()
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(lists):
-                by_dim.setdefault(len(v), []).append(i)
-            home, visited, raw = [0] * len(lists), [None] * len(lists), [b""] * len(lists)
-            for dim, at in by_dim.items():
-                base, c = cells.get(dim, (dim, None))
-                x = np.array([lists[i] for i in at], np.float32)
-                if c is None:  # a dimension that the sample missed is one cell
-                    best, near = np.zeros(len(at), int), np.ones((len(at), 1), bool)
-                else:
-                    sim = unit_rows(x) @ c.T
-                    best = np.argmax(sim, axis=1)
-                    near = sim >= sim.max(axis=1, keepdims=True) - margin
-                for j, i in enumerate(at):
-                    home[i] = base + int(best[j])
-                    visited[i] = np.flatnonzero(near[j]) + base
-                    raw[i] = x[j].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("vec"), batch.column("copies"), pa.array(home, pa.int32()), pa.array(visited, pa.list_(pa.int32())), pa.array(raw, pa.binary())], names=["vec", "copies", "home", "cells", "x"])
+            top = np.full(batch.num_rows, -1)
+            for at, x in _matrices(batch.column("x")):
+                if (c := dims.get(x.shape[1])) is not None:
+                    top[at] = c.first[np.argmax(unit_rows(x) @ c.top.T, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array(top, pa.int32()), batch.column("x")], names=["vertex", "top", "x"])
 
     return run
 
 
-_TASKS = "cell int, one int, two int, vec long, copies long, home int, cells array<int>, x binary, side int"
+def _visited(batch: pa.RecordBatch, dims: dict[int, Cells], margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home of each row; row and cell of each visit, by row and cell).  A length that the sample missed is one cell."""
+    home, rows, cells = np.zeros(batch.num_rows, np.int64), [], []
+    for at, x in _matrices(batch.column("x")):
+        if (c := dims.get(x.shape[1])) is None:
+            h, r, v = np.full(len(at), x.shape[1]), np.arange(len(at)), np.full(len(at), x.shape[1])
+        else:
+            h, r, v = c.visits(unit_rows(x), margin)
+        home[at] = h
+        rows.append(at[r])
+        cells.append(v)
+    row, cell = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (rows, cells))
+    order = np.lexsort((cell, row))
+    return home, row[order], cell[order]
+
+
+def _count(dims: dict[int, Cells], margin: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home, row, cell = _visited(batch, dims, margin)
+            both, n = np.unique(cell * 2 + (cell != home[row]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(both & 1), pa.array(n)], names=["cell", "guest", "n"])
+
+    return run
 
 
-def _visits(home_blocks: dict[int, int], guest_blocks: dict[int, int]):
-    """Vectors to the pairs of blocks in which they meet others: blocks of homes (two >= 0), or of homes and guests (two < 0)."""
+_TASKS = "cell int, one int, two int, vertex long, copies long, home int, cells binary, x binary, side int"
+
+
+def _deal(dims: dict[int, Cells], margin: float, homes: dict[int, int], guests: dict[int, int]):
+    """Vectors to the tasks in which they meet others: (cell, block, block) of homes, or (cell, block, -1 - block) of homes and guests.
+
+    A cell of one block of homes and one of guests is one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "one", "two", "vec", "copies", "home", "cells", "x", "side"]
         for batch in batches:
-            vec, home = batch.column("vec").to_numpy(), batch.column("home").to_numpy()
-            out, take = [], []
-            for i, raw in enumerate(batch.column("cells").to_pylist()):
-                spread = int(vec[i] * 2654435761 % (1 << 32))
-                for cell in raw:
-                    nh, ng = home_blocks.get(cell, 0), guest_blocks.get(cell, 0)
-                    if cell == home[i]:
-                        b = spread % nh
-                        tasks = [(cell, min(b, o), max(b, o), 0 if b <= o else 1) for o in range(nh)] + [(cell, b, -1 - g, 0) for g in range(ng)]
-                    else:
-                        tasks = [(cell, o, -1 - spread % ng, 1) for o in range(nh)] if ng else []
-                    out += tasks
-                    take += [i] * len(tasks)
-            idx = pa.array(take, pa.int64())
-            rows = list(zip(*out, strict=True)) or [()] * 4
-            cols = [pa.array(rows[k], pa.int32()) for k in (0, 1, 2)] + [batch.column(c).take(idx) for c in ("vec", "copies", "home", "cells", "x")] + [pa.array(rows[3], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            home, row, cell = _visited(batch, dims, margin)
+            vertex = batch.column("vertex").to_numpy()
+            spread = (vertex.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)[row]
+            names, inv = np.unique(cell, return_inverse=True)
+            nh = np.array([homes.get(int(c), 0) for c in names], np.int64)[inv]
+            ng = np.array([guests.get(int(c), 0) for c in names], np.int64)[inv]
+            own = cell == home[row]
+            single = (nh == 1) & (ng <= 1)
+            copies = np.where(single, 1, np.where(own, nh + ng, nh))
+            who = np.repeat(np.arange(len(row)), copies)
+            k = np.arange(len(who)) - np.repeat(np.cumsum(copies) - copies, copies)
+            mine, h = spread[who] % np.maximum(np.where(own, nh, ng)[who], 1), nh[who]
+            with_home, o, s = own[who] & (k < h), own[who], single[who]
+            one = np.where(s, 0, np.where(o, np.where(with_home, np.minimum(mine, k), mine), k))
+            two = np.where(s, 0, np.where(o, np.where(with_home, np.maximum(mine, k), h - k - 1), -1 - mine))
+            side = np.where(o, np.where(with_home & ~s & (k < mine), 1, 0), 2)
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            lists = pa.array([cell[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            raw: list[bytes] = [b""] * batch.num_rows
+            for at, x in _matrices(batch.column("x")):
+                for i, r in zip(at.tolist(), x, strict=True):
+                    raw[i] = r.tobytes()
+            take = pa.array(row[who])
+            put = lambda x: pa.array(x, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [put(cell[who]), put(one), put(two), batch.column("vertex").take(take), batch.column("copies").take(take), put(home[row[who]]), lists.take(take), pa.array(raw, pa.binary()).take(take), put(side)],
+                names=["cell", "one", "two", "vertex", "copies", "home", "cells", "x", "side"],
+            )
 
     return run
 
@@ -112,77 +204,110 @@ def _visits(home_blocks: dict[int, int], guest_blocks: dict[int, int]):
 _FOUND = "kind int, a long, b long"
 
 
-def _products(threshold: float):
-    """One pair of blocks: (0, vector, copies of vectors linked with it) and (1, vector, vector) of a spanning forest."""
+def _products(threshold: float, kind: type):
+    """One task: (0, vector, copies of vectors linked with it) and (1, vector, vector) of a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        side, vec, copies, home = (table[c].to_numpy() for c in ("side", "vec", "copies", "home"))
-        two, cell = table["two"][0].as_py(), table["cell"][0].as_py()
-        x = unit_rows(np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in table["x"]]))
-        same = two >= 0 and two == table["one"][0].as_py()
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        found_a, found_b = [], []
-        for lo in range(0, len(left), 512):
-            part = left[lo : lo + 512]
-            i, j = np.nonzero(x[part] @ x[right].T >= threshold)
-            a, b = part[i], right[j]
-            if same:
-                a, b = a[a < b], b[a < b]
-            found_a.append(a)
-            found_b.append(b)
+        side, vertex, copies, home = (table[c].to_numpy() for c in ("side", "vertex", "copies", "home"))
+        cell, whole = table["cell"][0].as_py(), table["one"][0].as_py() == table["two"][0].as_py()
+        raw = table["x"].chunk(0)
+        x = unit_rows(np.frombuffer(raw.buffers()[2], kind)[: raw.buffers()[2].size // np.dtype(kind).itemsize].reshape(len(vertex), -1)) if raw.offset == 0 else unit_rows(np.stack([np.frombuffer(v.as_buffer(), kind) for v in raw]))
+        left, found_a, found_b = np.flatnonzero(side == 0), [], []
+        for right in ([left] if whole else []) + [np.flatnonzero(side == 1), np.flatnonzero(side == 2)]:
+            for lo in range(0, len(left) if len(right) else 0, 512):
+                part = left[lo : lo + 512]
+                i, j = np.nonzero(x[part] @ x[right].T >= threshold)
+                a, b = part[i], right[j]
+                if right is left:
+                    a, b = a[a < b], b[a < b]
+                found_a.append(a)
+                found_b.append(b)
         a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-        if two < 0 and len(a):
+        guest = np.flatnonzero(side[b] == 2)
+        if len(guest):
             # a pair that also meets at the guest's home counts in the lower of both cells
-            cells = table["cells"]
-            away = np.fromiter((home[q] in cells[int(p)].as_py() for p, q in zip(a, b, strict=True)), bool, len(a))
-            keep = ~away | (home[b] > cell)
+            lists = [np.frombuffer(v.as_buffer(), np.int32) for v in table["cells"]]
+            visits = (np.repeat(np.arange(len(lists)), [len(v) for v in lists]) << 32) | np.concatenate(lists)
+            away = np.isin((a[guest] << 32) | home[b[guest]], visits)
+            keep = np.ones(len(a), bool)
+            keep[guest] = ~away | (home[b[guest]] > cell)
             a, b = a[keep], b[keep]
-        n = np.bincount(a, weights=copies[b], minlength=len(vec)) + np.bincount(b, weights=copies[a], minlength=len(vec))
+        n = np.bincount(a, weights=copies[b], minlength=len(vertex)) + np.bincount(b, weights=copies[a], minlength=len(vertex))
         at = np.flatnonzero(n)
-        u, v = forest(vec[a], vec[b])
-        kind = np.concatenate([np.zeros(len(at), np.int32), np.ones(len(u), np.int32)])
-        return pa.Table.from_arrays([pa.array(kind), pa.array(np.concatenate([vec[at], u])), pa.array(np.concatenate([n[at].astype(np.int64), v]))], names=["kind", "a", "b"])
+        u, v = forest(vertex[a], vertex[b])
+        kinds = np.concatenate([np.zeros(len(at), np.int32), np.ones(len(u), np.int32)])
+        return pa.Table.from_arrays([pa.array(kinds), pa.array(np.concatenate([vertex[at], u])), pa.array(np.concatenate([n[at].astype(np.int64), v]))], names=["kind", "a", "b"])
 
     return run
 
 
+def fit_all(classes: DataFrame, total: int, dim: float) -> dict[int, Cells]:
+    """Cells for each length of vectors in a bounded sample of `classes`."""
+    rows = max(1.0, FIT_VALUES / max(1.0, dim))
+    draw = F.pmod(F.xxhash64("vec", F.lit("cells")), F.lit(1 << 30)) / float(1 << 30)
+    sample = classes.where(draw < rows / max(1, total)).limit(int(2 * rows)).select("vertex", "x").toArrow().combine_chunks()
+    out: dict[int, Cells] = {}
+    if not sample.num_rows:
+        return out
+    vertex, base = sample["vertex"].to_numpy(), 1 << 20
+    for at, x in _matrices(sample["x"].chunk(0)):
+        wanted = total * len(at) / len(vertex) / CELL_ROWS
+        out[x.shape[1]] = c = Cells(base, fit_cells(unit_rows(x[np.argsort(vertex[at])]), int(np.clip(wanted, 1, MAX_TOP))))
+        base = c.number()
+    parts = int(np.clip(np.ceil(total / CELL_ROWS / MAX_TOP), 1, MAX_SUB))
+    if parts > 1:
+        rate = min(1.0, MAX_TOP * parts * SUB_ROWS / total)
+        drawn = classes.where(F.pmod(F.xxhash64("vec", F.lit("parts")), F.lit(1 << 30)) / float(1 << 30) < rate)
+        drawn = drawn.select("vertex", "x").mapInArrow(_homes(out), f"vertex long, top int, x {classes.schema['x'].dataType.simpleString()}").where("top >= 0")
+        # at most MAX_TOP * MAX_SUB centroids of each length
+        for r in drawn.groupBy("top").applyInArrow(_divide(out, parts), "top long, dim long, c binary").collect():
+            c = out[r["dim"]]
+            c.sub[int(np.searchsorted(c.first, r["top"]))] = np.frombuffer(r["c"]).reshape(-1, r["dim"])
+        base = 1 << 20
+        for c in out.values():
+            c.base = base
+            base = c.number()
+    return out
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for each row; other columns are ignored.
+    """``vec_id, n_links, component_id, kept`` for each row; other columns are ignored, whatever their names.
+
+    Vectors of floats stay floats until they are multiplied, all others are doubles.
 
     * null vectors, zero ones, and those with a null or non-finite component: no links, a component of their own.
     * vectors of different lengths aren't linked.
     * equal vectors are linked whatever their number; rows that repeat an id count as vectors of their own.
     * null ids: no links, component and kept null.  Empty table: empty result.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).cast("array<float>").alias("x"))
+    kind = vectors.schema[vector_col].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).cast(ArrayType(FloatType() if single else DoubleType())).alias("x"))
     finite = lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf"))
     usable = F.col("vec").isNotNull() & F.col("x").isNotNull() & F.forall("x", finite) & F.exists("x", lambda y: y != 0)
     v = v.withColumn("x", F.when(usable, F.col("x")))
-    classes = checkpoint(v.where("x IS NOT NULL").groupBy("x").agg(F.min("vec").alias("vec"), F.count("*").alias("copies")))
-    total = classes.count()
-    draw = F.pmod(F.xxhash64("vec", F.lit("cells")), F.lit(1 << 30)) / float(1 << 30)
-    sample = classes.where(draw < FIT_ROWS / max(1, total)).orderBy("vec").limit(2 * FIT_ROWS).select("x").toArrow()["x"].to_pylist()
-    cells: dict[int, tuple[int, np.ndarray]] = {}
-    base = 1 << 20
-    for dim in sorted({len(s) for s in sample}):
-        rows = unit_rows(np.array([s for s in sample if len(s) == dim], np.float64))
-        k = int(np.clip(total * len(rows) / max(1, len(sample)) / CELL_ROWS, 1, MAX_CELLS))
-        cells[dim] = (base, fit_cells(rows, k))
-        base += len(cells[dim][1])
-    homes = checkpoint(classes.select("vec", "copies", "x").mapInArrow(_assign(cells, margin), _CELLS))
-    # a few numbers for each cell, of which there are MAX_CELLS at most for a dimension
-    here = {r["home"]: -(-r["n"] // BLOCK_ROWS) for r in homes.groupBy("home").agg(F.count("*").alias("n")).collect()}
-    guests = homes.select("home", F.explode("cells").alias("cell")).where("cell <> home")
-    away = {r["cell"]: -(-r["n"] // BLOCK_ROWS) for r in guests.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    tasks = homes.mapInArrow(_visits(here, away), _TASKS)
-    found = checkpoint(tasks.groupBy("cell", "one", "two").applyInArrow(_products(threshold), _FOUND))
-    counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("n"))
+    keys = [F.xxhash64("x").alias("k1"), F.xxhash64(F.lit("second"), "x").alias("k2")]
+    merged = v.where("x IS NOT NULL").groupBy("x").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"))
+    classes = checkpoint(merged.select(F.monotonically_increasing_id().alias("vertex"), "vec", "copies", "x", *keys))
+    release(vectors.sparkSession)
+    total, dim = classes.agg(F.count("*"), F.coalesce(F.avg(F.size("x")), F.lit(1.0))).first()
+    dims = fit_all(classes, total, dim)
+    rows = classes.select("vertex", "copies", "x")
+    # a few numbers for each cell, of which there are MAX_TOP * MAX_SUB at most for a length
+    count = rows.mapInArrow(_count(dims, margin), "cell long, guest long, n long").groupBy("cell", "guest").agg(F.sum("n").alias("n")).collect()
+    blocks = [{r["cell"]: -(-r["n"] // BLOCK_ROWS) for r in count if r["guest"] == g} for g in (0, 1)]
+    tasks = rows.mapInArrow(_deal(dims, margin, *blocks), _TASKS)
+    found = checkpoint(tasks.groupBy("cell", "one", "two").applyInArrow(_products(threshold, np.float32 if single else np.float64), _FOUND))
+    del tasks, merged
+    release(vectors.sparkSession)
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("vertex")).agg(F.sum("b").alias("n"))
     groups = connected_components(found.where("kind = 1"))
-    named = classes.join(counts, classes["vec"] == counts["a"], "left").join(groups, classes["vec"] == groups["vertex"], "left")
-    named = named.where("copies > 1 OR n IS NOT NULL").select(F.col("x").alias("k"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "vec").alias("component"))
-    out = v.join(named, v["x"] == named["k"], "left")
-    component = F.coalesce("component", "vec")
+    named = classes.select("vertex", "vec", "copies", "k1", "k2").join(counts, "vertex", "left").join(groups, "vertex", "left")
+    named = named.where("copies > 1 OR n IS NOT NULL").select("k1", "k2", "vec", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "vertex").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("vec").alias("least"))
+    named = named.join(lowest, "component").select("k1", "k2", "n_links", "least")
+    # equal vectors find their class by a 128-bit hash, so that no vector moves again
+    out = v.select("vec", *[F.when(F.col("x").isNotNull(), k).alias(n) for k, n in zip(keys, ("k1", "k2"), strict=True)]).join(named, ["k1", "k2"], "left")
+    component = F.coalesce("least", "vec")
     return out.select(F.col("vec").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec").isNotNull(), component).alias("component_id"), (F.col("vec") == component).alias("kept"))
-
