@@ -7,7 +7,9 @@ and not needed: equal strings have equal least k-grams at the same place, so
 1. each window of LENGTH bytes belongs to its least k-gram (its anchor), one
    anchor for about 14 bytes.  The windows of an anchor and the bytes they
    cover are its context.  Anchors go to blocks by their hash; where documents
-   have one in common, each sends the bytes of its contexts.
+   have one in common, each sends the bytes of its contexts to the block of the
+   place at which the smallest of these documents has it.  Contexts next to each
+   other mostly go the same way, as one run of bytes.
 2. these suffixes are sorted by mergesort.  Two are compared in log2(LENGTH)
    steps: binary search over prefix polynomial hashes finds their common
    extension, the next byte decides.  Hashes can collide, so all neighbours are
@@ -45,9 +47,11 @@ BUFFER, CONTEXT_BUFFER = 1_000_000, 100_000
 TASK_CONTEXTS, BLOCK_CONTEXTS = 64, 4_096
 #: Text bytes for each block, and the bits of the smallest and largest number of blocks.
 BLOCK_BYTES, MIN_BITS, MAX_BITS = 12 << 20, 6, 24
-#: The part of an anchor's hash by which a document is asked for it; the next bit says that its windows are dealt apart.
-NAME, HOT = U((1 << 48) - 1), U(1 << 48)
-_ENTRIES, _MARKS, _ASKED, _SPANS, _CONTEXTS = 0, 1, 2, 3, 4
+#: Bits of an anchor's hash, and of the places in a document that share a block.
+NAME_BITS, PLACE_BITS = 48, 9
+#: In place of a block: the windows of this anchor are dealt apart.
+HOT = (1 << 32) - 1
+_ENTRIES, _MARKS, _ASKED, _SPANS, _RUNS = 0, 1, 2, 3, 4
 
 
 class Anchors:
@@ -61,7 +65,7 @@ class Anchors:
         none = np.zeros(0, np.int64)
         self.lo, self.hi, self.at, gram = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none.astype(U))
         self.doc = np.searchsorted(starts, self.lo, side="right") - 1
-        self.gram = mix64(gram)  # anchors are small hashes: mixed again they spread over all blocks
+        self.gram = mix64(gram) >> U(64 - NAME_BITS)  # anchors are small hashes: mixed again they spread over all blocks
         shape = ((self.at - self.lo) * GRAMS + self.hi - self.lo).astype(U)
         self.context = mix64(range_hash(self.prefix, self.lo, self.hi + LENGTH) + shape * U(0x9E3779B97F4A7C15))
 
@@ -153,23 +157,22 @@ def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray,
     return [(int(block[lo]) + shift, _SPANS, doc[lo:hi], tag[lo:hi], start[lo:hi], end[lo:hi], None) for lo, hi in runs(heads(block), len(doc))]
 
 
-def _asked(doc: np.ndarray, name: np.ndarray, blocks: int, shift: int) -> list[tuple]:
-    """Rows (block of the document + shift; documents, counts, names of anchors)."""
+def _asked(doc: np.ndarray, gram: np.ndarray, place: np.ndarray, blocks: int, shift: int) -> list[tuple]:
+    """Rows (block of the document + shift; documents, counts, anchors, the block each is asked to)."""
     block = (mix64(doc.view(U)) % U(blocks)).astype(np.int64)
     order = np.lexsort((doc, block))
-    doc, name, block = doc[order], name[order], block[order]
+    doc, gram, place, block = doc[order], gram[order], place[order], block[order]
     head, rows = heads(doc, block), []
     for lo, hi in runs(heads(block), len(doc)):
         x = head[np.searchsorted(head, lo) : np.searchsorted(head, hi)]
-        rows.append((int(block[lo]) + shift, _ASKED, doc[x], np.diff([*x, hi]).astype(np.uint32), name[lo:hi], None, None))
+        rows.append((int(block[lo]) + shift, _ASKED, doc[x], np.diff([*x, hi]).astype(np.uint32), gram[lo:hi], place[lo:hi].astype(np.uint32), None))
     return rows
 
 
-def _by_key(bits: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _by_block(block: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """(order by block, where each block begins)."""
-    block = (key >> U(64 - bits)).astype(np.uint32)
-    order = np.argsort(block.astype(np.uint16) if bits <= 16 else block, kind="stable")
-    return order, np.searchsorted(block[order], np.arange((1 << bits) + 1))
+    order = np.argsort(block.astype(np.uint16 if blocks <= 1 << 16 else np.uint32), kind="stable")
+    return order, np.searchsorted(block[order], np.arange(blocks + 1))
 
 
 def _deal(bits: int):
@@ -184,25 +187,25 @@ def _deal(bits: int):
         rows = _spans(doc[later], tag[later], pos[later], (pos + size)[later], blocks, blocks)
         # contexts that stand for themselves count towards a hot anchor; a document enters with each anchor once
         alone = first[~later] == np.flatnonzero(~later)
-        gram, doc = gram[~later], doc[~later]
-        order = np.lexsort((doc, gram))
-        gram, doc, alone = gram[order], doc[order], alone[order]
+        gram, doc, place = gram[~later], doc[~later], np.minimum(pos[~later] >> PLACE_BITS, 65535)
+        order = np.lexsort((place, doc, gram))
+        gram, doc, place, alone = gram[order], doc[order], place[order], alone[order]
         g = heads(gram)
         many = np.add.reduceat(alone, g) > TASK_CONTEXTS if len(g) else np.zeros(0, bool)
         hot = np.repeat(many, np.diff([*g, len(gram)]))
         once = np.zeros(len(gram), bool)
         once[heads(gram, doc)] = True
-        rows += _asked(doc[hot & once], (gram[hot & once] & NAME) | HOT, blocks, blocks)
-        rows += [(int(x >> U(64 - bits)), _MARKS, np.array([x]), None, None, None, None) for x in gram[g][many]]
-        gram, doc = gram[once & ~hot], doc[once & ~hot]
-        order, cuts = _by_key(bits, gram)
-        gram, doc = gram[order], doc[order]
+        rows += _asked(doc[hot & once], gram[hot & once], np.full((hot & once).sum(), HOT), blocks, blocks)
+        rows += [(int(x >> U(NAME_BITS - bits)), _MARKS, np.array([x]), None, None, None, None) for x in gram[g][many]]
+        gram, doc, place = (x[once & ~hot] for x in (gram, doc, place))
+        order, cuts = _by_block((gram >> U(NAME_BITS - bits)).astype(np.int64), blocks)
+        gram, doc, place = gram[order], doc[order], place[order]
         for b in np.flatnonzero(np.diff(cuts)):
             lo, hi = cuts[b], cuts[b + 1]
             o = np.argsort(doc[lo:hi], kind="stable")
             d, x = doc[lo:hi][o], gram[lo:hi][o]
             head = heads(d)
-            rows.append((int(b), _ENTRIES, d[head], np.diff([*head, hi - lo]).astype(np.uint32), x.astype(np.uint32), (x >> U(32)).astype(np.uint16), None))
+            rows.append((int(b), _ENTRIES, d[head], np.diff([*head, hi - lo]).astype(np.uint32), x.astype(np.uint32), (x >> U(32)).astype(np.uint16), place[lo:hi][o].astype(np.uint16)))
         return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,20 +239,23 @@ def _meet(bits: int):
         if table["key"][0].as_py() >= blocks:
             return _pass_on(table, blocks)
         kind = table["kind"].to_numpy()
-        marks = joined(table.filter(pa.array(kind == _MARKS)), "a", U) & NAME
+        marks = joined(table.filter(pa.array(kind == _MARKS)), "a", U)
         table = table.filter(pa.array(kind == _ENTRIES))
         doc = np.repeat(joined(table, "a", np.int64), joined(table, "b", np.uint32))
-        name = joined(table, "c", np.uint32).astype(U) | (joined(table, "d", np.uint16).astype(U) << U(32))
-        order = np.lexsort((doc, name))
-        name, doc = name[order], doc[order]
-        g = heads(name)
-        size = np.diff([*g, len(name)])
+        gram = joined(table, "c", np.uint32).astype(U) | (joined(table, "d", np.uint16).astype(U) << U(32))
+        place = joined(table, "e", np.uint16)
+        order = np.lexsort((place, doc, gram))
+        gram, doc, place = gram[order], doc[order], place[order]
+        g = heads(gram)
+        size = np.diff([*g, len(gram)])
         several = doc[np.append(g[1:], len(doc)) - 1] > doc[g] if len(g) else np.zeros(0, bool)
-        hot = np.isin(name[g], marks) | (several & (size > BLOCK_CONTEXTS))
-        once = np.zeros(len(name), bool)
-        once[heads(name, doc)] = True
+        hot = np.isin(gram[g], marks) | (several & (size > BLOCK_CONTEXTS))
+        to = (mix64(doc[g].view(U) * U(0x9E3779B97F4A7C15) + place[g]) % U(blocks)).astype(np.int64)
+        to = np.repeat(np.where(hot, HOT, to), size)
+        once = np.zeros(len(gram), bool)
+        once[heads(gram, doc)] = True
         once &= np.repeat(several | hot, size)
-        return pa.Table.from_batches([packed(_asked(doc[once], (name | np.where(np.repeat(hot, size), HOT, U(0)))[once], blocks, 0))])
+        return pa.Table.from_batches([packed(_asked(doc[once], gram[once], to[once], blocks, 0))])
 
     return run
 
@@ -258,13 +264,14 @@ _ANSWERS = "id long, asked binary, spans binary"
 
 
 def _answers(table: pa.Table) -> pa.Table:
-    """By document: the names of the anchors it is asked for, and (tag, start, end) of what is removed."""
+    """By document: the anchors it is asked for and the blocks it is asked to, and (tag, start, end) of what is removed."""
     kind = table["kind"].to_numpy()
     asked, spans = table.filter(pa.array(kind == _ASKED)), table.filter(pa.array(kind == _SPANS))
-    doc, name = np.repeat(joined(asked, "a", np.int64), joined(asked, "b", np.uint32)), joined(asked, "c", U)
-    order = np.lexsort((name, doc))
-    doc, name = doc[order], name[order]
-    out = {int(doc[lo]): [name[lo:hi].tobytes(), None] for lo, hi in runs(heads(doc), len(doc))}
+    doc = np.repeat(joined(asked, "a", np.int64), joined(asked, "b", np.uint32))
+    gram, place = joined(asked, "c", U), joined(asked, "d", np.uint32)
+    order = np.lexsort((gram, doc))
+    doc, gram, place = doc[order], gram[order], place[order]
+    out = {int(doc[lo]): [gram[lo:hi].tobytes() + place[lo:hi].tobytes(), None] for lo, hi in runs(heads(doc), len(doc))}
     doc = joined(spans, "a", np.int64)
     triple = np.stack([joined(spans, x, np.int64) for x in "bcd"], axis=1)
     order = np.argsort(doc, kind="stable")
@@ -276,15 +283,16 @@ def _answers(table: pa.Table) -> pa.Table:
 
 
 def _listed(column: pa.Array, gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchors whose contexts their documents are asked for, those whose windows they are asked for)."""
-    lists = [(U(int(i)) << U(49)) | values(column[int(i)], U) for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))]
-    have = np.concatenate(lists) if lists else np.zeros(0, U)
-    out = []
-    for bit in (U(0), HOT):
-        want = (doc.astype(U) << U(49)) | (gram & NAME) | bit
-        k = np.minimum(np.searchsorted(have, want), max(0, len(have) - 1))
-        out.append(np.flatnonzero(have[k] == want) if len(have) else np.zeros(0, np.int64))
-    return out[0], out[1]
+    """(anchors that their documents are asked for, the block each is asked to)."""
+    lists = [(int(i), column[int(i)].as_buffer()) for i in np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))]
+    if not lists:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    have = np.concatenate([(U(i) << U(NAME_BITS)) | np.frombuffer(x, U, len(x) // 12) for i, x in lists])
+    place = np.concatenate([np.frombuffer(x, np.uint32, offset=len(x) // 12 * 8) for _, x in lists])
+    want = (doc.astype(U) << U(NAME_BITS)) | gram
+    k = np.minimum(np.searchsorted(have, want), len(have) - 1)
+    at = np.flatnonzero(have[k] == want)
+    return at, place[k[at]].astype(np.int64)
 
 
 def _take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -294,17 +302,17 @@ def _take(data: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _send_contexts(bits: int):
-    """Texts with the anchors that are asked of them to packed bytes by block of the anchor (or of the window's hash)."""
+    """Texts with the anchors that are asked of them to runs of bytes: neighbours that go to one block, or windows of hot anchors by their hash."""
     blocks = 1 << bits
 
     def flush(parts: list[tuple]) -> pa.RecordBatch:
-        seg, doc, tag, pos, size, off, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, cuts = _by_key(bits, seg)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        block, doc, tag, pos, size, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, cuts = _by_block(block, blocks)
+        begin = np.cumsum(size) - size
         rows = []
         for b in np.flatnonzero(np.diff(cuts)):
             x = order[cuts[b] : cuts[b + 1]]
-            rows.append((int(b), _CONTEXTS, seg[x], doc[x], np.concatenate([size[x], off[x]]).astype(np.uint8), _take(raw, begin[x], size[x]), np.concatenate([tag[x].view(np.uint32), pos[x].astype(np.uint32)])))
+            rows.append((int(b), _RUNS, doc[x], tag[x], pos[x].astype(np.uint32), size[x].astype(np.uint32), _take(raw, begin[x], size[x])))
         return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,24 +320,29 @@ def _send_contexts(bits: int):
         for s in text_slices(batches):
             a = Anchors(s.data, s.starts)
             ids, _, tags = _ids(s)
-            need, hot = _listed(s.column("asked"), a.gram, a.doc)
+            at, block = _listed(s.column("asked"), a.gram, a.doc)
+            need, hot = at[block != HOT], at[block == HOT]
             if len(need):
-                doc, lo = a.doc[need], a.lo[need]
-                size = a.hi[need] + LENGTH - lo
-                parts.append((a.gram[need], ids[doc], tags[doc], lo - s.starts[doc], size, a.at[need] - lo, _take(s.data, lo, size)))
+                block, doc, lo = block[block != HOT], a.doc[need], a.lo[need]
+                new = np.ones(len(need), bool)
+                new[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] != a.hi[need[:-1]] + 1)
+                x = np.flatnonzero(new)
+                size = a.hi[need[np.append(x[1:], len(need)) - 1]] + LENGTH - lo[x]
+                parts.append((block[x], ids[doc[x]], tags[doc[x]], lo[x] - s.starts[doc[x]], size, _take(s.data, lo[x], size)))
                 held += len(need)
             if len(hot):
                 count = a.hi[hot] + 1 - a.lo[hot]
                 at = np.repeat(a.lo[hot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 row = np.repeat(a.doc[hot], count)
                 length = np.full(len(at), LENGTH)
-                order, first = verified(s.data, at, length, range_hash(a.prefix, at, at + LENGTH), ids[row])
-                at, row = at[order], row[order]
+                key = range_hash(a.prefix, at, at + LENGTH)
+                order, first = verified(s.data, at, length, key, ids[row])
+                at, row, key = at[order], row[order], key[order]
                 doc, tag, pos = ids[row], tags[row], at - s.starts[row]
                 later = doc > doc[first]
                 yield packed(_spans(doc[later], tag[later], pos[later], pos[later] + LENGTH, blocks, blocks))
                 x = np.flatnonzero(~later)
-                parts.append((mix64(range_hash(a.prefix, at[x], at[x] + LENGTH)), doc[x], tag[x], pos[x], length[x], np.zeros(len(x), np.int64), _take(s.data, at[x], length[x])))
+                parts.append(((mix64(key[x]) % U(blocks)).astype(np.int64), doc[x], tag[x], pos[x], length[x], _take(s.data, at[x], length[x])))
                 held += len(x)
             if held >= CONTEXT_BUFFER:
                 yield flush(parts)
@@ -407,28 +420,22 @@ def sorted_windows(data: np.ndarray, prefix: np.ndarray, at: np.ndarray, place:
 
 
 def _sort_windows(bits: int):
-    """One block: sorts the windows of its contexts and answers which of them a smaller document has."""
+    """One block: sorts the windows of the contexts in its runs and answers which of them a smaller document has."""
     blocks = 1 << bits
 
     def run(table: pa.Table) -> pa.Table:
         if table["key"][0].as_py() >= blocks:
             return _pass_on(table, blocks)
-        size, off, tag, pos = [], [], [], []
-        for c, e in zip(table["c"], table["e"], strict=True):
-            x, y = values(c, np.uint8), values(e, np.uint32)
-            n = len(x) // 2
-            size.append(x[:n])
-            off.append(x[n:])
-            tag.append(y[: 2 * n])
-            pos.append(y[2 * n :])
-        size, off, pos = (np.concatenate(x).astype(np.int64) for x in (size, off, pos))
-        tag = np.concatenate(tag).view(np.int64)
-        seg, doc, data = joined(table, "a", U), joined(table, "b", np.int64), joined(table, "d", np.uint8)
-        prefix = prefix_hash(data)
-        begin = np.cumsum(size) - size
+        run_doc, run_tag, run_pos, data = joined(table, "a", np.int64), joined(table, "b", np.int64), joined(table, "c", np.uint32), joined(table, "e", np.uint8)
+        starts = np.concatenate([[0], np.cumsum(joined(table, "d", np.uint32).astype(np.int64))])
+        # a run holds the windows of its contexts and no others, so its anchors are those of the document
+        a = Anchors(data, starts)
+        prefix, begin, size, off = a.prefix, a.lo, a.hi + LENGTH - a.lo, a.at - a.lo
+        doc, tag, pos = run_doc[a.doc], run_tag[a.doc], run_pos[a.doc].astype(np.int64) + a.lo - starts[a.doc]
         # equal contexts, byte by byte, stand for one: larger documents lose it whole, the smallest one's repeats fare alike
-        order, first = verified(data, begin, size, range_hash(prefix, begin, begin + size) + mix64(seg), doc, off, seg)
-        seg, doc, tag, pos, size, off, begin = (x[order] for x in (seg, doc, tag, pos, size, off, begin))
+        order, first = verified(data, begin, size, a.context, doc, off)
+        seg = a.gram[order]
+        doc, tag, pos, size, off, begin = (x[order] for x in (doc, tag, pos, size, off, begin))
         later = doc > doc[first]
         out = [(doc[later], tag[later], pos[later], (pos + size)[later])]
         one = np.flatnonzero(first == np.arange(len(first)))
