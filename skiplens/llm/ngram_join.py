@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, TextSlice, checkpoint, few, lean, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
 from .components import connected_components, forest
-from .packing import PACKED, block_bits, heads, joined, packed, runs, values
+from .packing import PACKED, block_bits, heads, joined, packed, runs, text_totals, values
 
 U = np.uint64
 HASH_BITS = 52
-#: Input bytes for each block of columns, and the bits of the smallest and largest number of blocks.
-BLOCK_BYTES, MIN_BITS, MAX_BITS = 6 << 20, 6, 24
+#: Text bytes for each block of columns, and the bits of the smallest and largest number of blocks.
+BLOCK_BYTES, MIN_BITS, MAX_BITS = 12 << 20, 6, 24
 #: The sample from which very common columns are taken: documents, how many of them hold such a column, and the most
 #: columns known to all tasks.  Which columns these are changes how they travel, not what links.
 SAMPLE_DOCS, SAMPLE_HITS, COMMON_COLUMNS = 2_000, 8, 100_000
@@ -368,9 +368,8 @@ def _verify(percent: int):
     return run
 
 
-def common_columns(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of the shingles that many documents of a bounded sample hold, sorted."""
-    n = docs.count()
+def common_columns(docs: DataFrame, k: int, n: int) -> np.ndarray:
+    """Hashes of the shingles that many documents of a bounded sample of `n` hold, sorted."""
     draw = F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(1 << 30)) / float(1 << 30)
     sample = docs.where((draw < SAMPLE_DOCS / max(1, n)) & (F.length("text") < 200_000)).limit(2 * SAMPLE_DOCS)
 
@@ -422,9 +421,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     * empty table: empty result; other columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(0).cast("long") if tag is None else tag).alias("tag"))
-    bits = block_bits(d, "text", BLOCK_BYTES, MIN_BITS, MAX_BITS)
+    n_rows, size = text_totals(d, "text")
+    bits = block_bits(size, BLOCK_BYTES, MIN_BITS, MAX_BITS)
     blocks = 1 << bits
-    dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k), k), PACKED)
+    dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k, n_rows), k), PACKED)
     shared = dealt.groupBy("key").applyInArrow(lean(_shared(bits, blocks)), PACKED)
     rows = checkpoint(shared.groupBy("key").applyInArrow(lean(_survivors(blocks, percent)), _ROWS))
     del dealt, shared

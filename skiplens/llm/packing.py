@@ -46,7 +46,12 @@ def runs(head: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(zip(head.tolist(), [*head[1:].tolist(), n], strict=True)) if len(head) else []
 
 
-def block_bits(df: DataFrame, column: str, block_bytes: int, low: int, high: int) -> int:
-    """Bits of the number of blocks of about `block_bytes` for the texts of a column, whose bytes are summed."""
-    n = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    return int(np.clip(np.ceil(np.log2(max(1, n / block_bytes))), low, high))
+def text_totals(df: DataFrame, column: str) -> tuple[int, int]:
+    """(rows, UTF-8 bytes of a column of texts)."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(column))).first()
+    return n, size or 0
+
+
+def block_bits(size: int, block_bytes: int, low: int, high: int) -> int:
+    """Bits of the number of blocks of about `block_bytes`."""
+    return int(np.clip(np.ceil(np.log2(max(1, size / block_bytes))), low, high))

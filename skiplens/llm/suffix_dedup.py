@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, mix64, prefix_hash, range_hash, release, text_slices
-from .packing import PACKED, block_bits, heads, joined, packed, runs, values
+from .packing import PACKED, block_bits, heads, joined, packed, runs, text_totals, values
 
 U = np.uint64
 #: Bytes of a string that counts as a repeat, of an anchor, and k-grams in a window.
@@ -512,7 +512,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * `kept` can begin or end within a character, as matches are of bytes.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bits = block_bits(d, "text", BLOCK_BYTES, MIN_BITS, MAX_BITS)
+    bits = block_bits(text_totals(d, "text")[1], BLOCK_BYTES, MIN_BITS, MAX_BITS)
     d = d.withColumn("tag", F.xxhash64("text"))
     met = d.mapInArrow(_deal(bits), PACKED).groupBy("key").applyInArrow(_meet(bits), PACKED)
     answers = checkpoint(met.groupBy("key").applyInArrow(_answers, _ANSWERS))
