@@ -10,7 +10,8 @@ and not needed: equal strings have equal least k-grams at the same place, so
    have one in common, each sends the bytes of its contexts to the block of the
    place at which the smallest of these documents has it.  Contexts next to each
    other mostly go the same way, as one run of bytes.
-2. these suffixes are sorted by mergesort.  Two are compared in log2(LENGTH)
+2. these suffixes, but for those whose hash no other one of the block has and
+   which are therefore equal to none, are sorted by mergesort.  Two are compared in log2(LENGTH)
    steps: binary search over prefix polynomial hashes finds their common
    extension, the next byte decides.  Hashes can collide, so all neighbours are
    compared byte by byte afterwards; where the order is wrong, it is made again
@@ -57,10 +58,11 @@ _ENTRIES, _MARKS, _ASKED, _SPANS, _RUNS = 0, 1, 2, 3, 4
 class Anchors:
     """Anchors of a slice: windows lo..hi (first bytes), anchor byte, hashes, document, each by position."""
 
-    __slots__ = ("at", "context", "doc", "gram", "hi", "lo", "prefix")
+    __slots__ = ("at", "context", "doc", "end", "gram", "hi", "lo", "prefix")
 
     def __init__(self, data: np.ndarray, starts: np.ndarray):
         self.prefix = prefix_hash(data)
+        self.end = np.repeat(starts[1:], np.diff(starts))  # of the document at each byte
         parts = [self._step(starts, lo, min(lo + STEP, len(data) - LENGTH + 1)) for lo in range(0, max(0, len(data) - LENGTH + 1), STEP)]
         none = np.zeros(0, np.int64)
         self.lo, self.hi, self.at, gram = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none.astype(U))
@@ -72,7 +74,7 @@ class Anchors:
     def _step(self, starts: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, ...]:
         n = hi - lo + GRAMS - 1
         at = np.arange(lo, lo + n)
-        gram = mix64(range_hash(self.prefix, at, at + GRAM))
+        gram = mix64(range_hash(self.prefix, slice(lo, lo + n), slice(lo + GRAM, lo + n + GRAM)))
         key = (gram >> U(28) << U(28)) | np.arange(n, dtype=U)  # ties go to the left
         width = 1
         while width * 2 <= GRAMS:
@@ -81,7 +83,7 @@ class Anchors:
         if GRAMS > width:
             key = np.minimum(key[: len(key) - (GRAMS - width)], key[GRAMS - width :])
         first = at[: hi - lo]
-        end = starts[np.searchsorted(starts, first, side="right")]
+        end = self.end[lo:hi]
         ok = first + LENGTH <= end
         first, best = first[ok], (key[ok] & U((1 << 28) - 1)).astype(np.int64)
         new = heads(best, end[ok])
@@ -123,19 +125,20 @@ def compare(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def verified(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order by key and document, place in it of the first with equal key, size, bytes and `more`, or its own)."""
-    order = np.lexsort((doc, key))
-    k, begin, size, more = key[order], begin[order], size[order], [x[order] for x in more]
-    head = heads(k)
-    first = np.repeat(head, np.diff([*head, len(k)]))
-    at = np.flatnonzero((first != np.arange(len(k))) & (size[first] == size))
+def verified(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Of each row, that of the smallest document with equal key, size, bytes and `more`, or its own."""
+    out, order = np.arange(len(key)), np.argsort(key)
+    count = np.diff([*heads(key[order]), len(key)])
+    some = order[np.repeat(count > 1, count)]
+    some = some[np.lexsort((doc[some], key[some]))]
+    head = heads(key[some])
+    first = np.repeat(some[head], np.diff([*head, len(some)]))
+    at = np.flatnonzero((first != some) & (size[first] == size[some]))
     for x in more:
-        at = at[x[first[at]] == x[at]]
-    at = at[same_bytes(data, begin[at], begin[first[at]], size[at])]
-    out = np.arange(len(k))
-    out[at] = first[at]
-    return order, out
+        at = at[x[first[at]] == x[some[at]]]
+    at = at[same_bytes(data, begin[some[at]], begin[first[at]], size[some[at]])]
+    out[some[at]] = first[at]
+    return out
 
 
 def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray, blocks: int, shift: int) -> list[tuple]:
@@ -181,31 +184,34 @@ def _deal(bits: int):
 
     def flush(parts: list[tuple], data: list[np.ndarray]) -> pa.RecordBatch:
         gram, context, doc, tag, pos, size, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, first = verified(np.concatenate(data), begin, size, context, doc, gram)
-        gram, doc, tag, pos, size = gram[order], doc[order], tag[order], pos[order], size[order]
+        first = verified(np.concatenate(data), begin, size, context, doc, gram)
         later = doc > doc[first]
         rows = _spans(doc[later], tag[later], pos[later], (pos + size)[later], blocks, blocks)
         # contexts that stand for themselves count towards a hot anchor; a document enters with each anchor once
-        alone = first[~later] == np.flatnonzero(~later)
-        gram, doc, place = gram[~later], doc[~later], np.minimum(pos[~later] >> PLACE_BITS, 65535)
-        order = np.lexsort((place, doc, gram))
-        gram, doc, place, alone = gram[order], doc[order], place[order], alone[order]
-        g = heads(gram)
-        many = np.add.reduceat(alone, g) > TASK_CONTEXTS if len(g) else np.zeros(0, bool)
-        hot = np.repeat(many, np.diff([*g, len(gram)]))
-        once = np.zeros(len(gram), bool)
-        once[heads(gram, doc)] = True
+        rest = np.flatnonzero(~later)
+        alone = first[rest] == rest
+        gram, doc, place = gram[rest], doc[rest], np.minimum(pos[rest] >> PLACE_BITS, 65535)
+        order = np.argsort(gram)
+        g = heads(gram[order])
+        size = np.diff([*g, len(gram)])
+        many = np.add.reduceat(alone[order], g) > TASK_CONTEXTS if len(g) else np.zeros(0, bool)
+        hot, once = np.zeros(len(gram), bool), np.ones(len(gram), bool)
+        hot[order] = np.repeat(many, size)
+        marks = gram[order][g][many]
+        some = order[np.repeat(size > 1, size)]
+        some = some[np.lexsort((place[some], doc[some], gram[some]))]
+        once[some] = False
+        once[some[heads(gram[some], doc[some])]] = True
         rows += _asked(doc[hot & once], gram[hot & once], np.full((hot & once).sum(), HOT), blocks, blocks)
-        rows += [(int(x >> U(NAME_BITS - bits)), _MARKS, np.array([x]), None, None, None, None) for x in gram[g][many]]
+        rows += [(int(x >> U(NAME_BITS - bits)), _MARKS, np.array([x]), None, None, None, None) for x in marks]
         gram, doc, place = (x[once & ~hot] for x in (gram, doc, place))
         order, cuts = _by_block((gram >> U(NAME_BITS - bits)).astype(np.int64), blocks)
         gram, doc, place = gram[order], doc[order], place[order]
         for b in np.flatnonzero(np.diff(cuts)):
             lo, hi = cuts[b], cuts[b + 1]
-            o = np.argsort(doc[lo:hi], kind="stable")
-            d, x = doc[lo:hi][o], gram[lo:hi][o]
+            d, x = doc[lo:hi], gram[lo:hi]
             head = heads(d)
-            rows.append((int(b), _ENTRIES, d[head], np.diff([*head, hi - lo]).astype(np.uint32), x.astype(np.uint32), (x >> U(32)).astype(np.uint16), place[lo:hi][o].astype(np.uint16)))
+            rows.append((int(b), _ENTRIES, d[head], np.diff([*head, hi - lo]).astype(np.uint32), x.astype(np.uint32), (x >> U(32)).astype(np.uint16), place[lo:hi].astype(np.uint16)))
         return packed(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +342,7 @@ def _send_contexts(bits: int):
                 row = np.repeat(a.doc[hot], count)
                 length = np.full(len(at), LENGTH)
                 key = range_hash(a.prefix, at, at + LENGTH)
-                order, first = verified(s.data, at, length, key, ids[row])
-                at, row, key = at[order], row[order], key[order]
+                first = verified(s.data, at, length, key, ids[row])
                 doc, tag, pos = ids[row], tags[row], at - s.starts[row]
                 later = doc > doc[first]
                 yield packed(_spans(doc[later], tag[later], pos[later], pos[later] + LENGTH, blocks, blocks))
@@ -433,9 +438,8 @@ def _sort_windows(bits: int):
         prefix, begin, size, off = a.prefix, a.lo, a.hi + LENGTH - a.lo, a.at - a.lo
         doc, tag, pos = run_doc[a.doc], run_tag[a.doc], run_pos[a.doc].astype(np.int64) + a.lo - starts[a.doc]
         # equal contexts, byte by byte, stand for one: larger documents lose it whole, the smallest one's repeats fare alike
-        order, first = verified(data, begin, size, a.context, doc, off)
-        seg = a.gram[order]
-        doc, tag, pos, size, off, begin = (x[order] for x in (doc, tag, pos, size, off, begin))
+        first = verified(data, begin, size, a.context, doc, off)
+        seg = a.gram
         later = doc > doc[first]
         out = [(doc[later], tag[later], pos[later], (pos + size)[later])]
         one = np.flatnonzero(first == np.arange(len(first)))
@@ -444,8 +448,10 @@ def _sort_windows(bits: int):
         i = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
         # equal windows have their anchor at the same place
         place = mix64(seg[own] + (off[own] - i + GRAMS).astype(U) * U(0x9E3779B97F4A7C15))
-        order = np.argsort(place, kind="stable")
-        size_of = np.diff([*heads(place[order]), len(order)])
+        # a window whose hash no other one has is equal to none; all others are sorted
+        key = place + mix64(range_hash(prefix, begin[own] + i, begin[own] + i + LENGTH))
+        order = np.argsort(key)
+        size_of = np.diff([*heads(key[order]), len(order)])
         order = order[np.repeat(size_of > 1, size_of)]
         place, own, i = place[order], own[order], i[order]
         order, new = sorted_windows(data, prefix, begin[own] + i, place)
