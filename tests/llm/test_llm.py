@@ -229,6 +229,13 @@ def test_embeddings(spark):
     assert (found <= truth).all() and found.sum() >= 0.9 * truth.sum()
     for k, _, _ in odd:
         assert got[k]["n_links"] == 0 and got[k]["component_id"] == k
+    low = np.arange(len(x))
+    while True:
+        new = np.array([low[row].min() for row in u @ u.T >= 0.9])
+        if (new == low).all():
+            break
+        low = new
+    assert [got[k]["component_id"] for k in range(len(x))] == low.tolist() and all(got[k]["kept"] == (low[k] == k) for k in range(len(x)))
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -246,6 +253,29 @@ def test_embeddings_blocks(spark, monkeypatch):
     assert [r[1] for r in want] == ((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()
 
 
+def test_embeddings_recall_of_two_levels(spark, monkeypatch):
+    """Queries are the ids divisible by 20; small cells in two levels, doubles that floats can't hold, repeated ids."""
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 25)
+    monkeypatch.setattr(embed_dedup, "MAX_TOP", 12)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1500, 48))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.normal(size=unit.shape)
+    noise -= (noise * unit).sum(axis=1, keepdims=True) * unit
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 1.0, (1500, 1))
+    x = np.concatenate([base, cos * unit + np.sqrt(1 - cos * cos) * noise]) * 1e60
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df).collect()}
+    u = embed_dedup.unit_rows(x)
+    truth = (u @ u.T >= 0.9).sum(axis=1) - 1
+    q = np.arange(0, len(x), 20)
+    found = np.array([got[k] for k in q.tolist()])
+    assert (found <= truth[q]).all() and found.sum() >= 0.9 * truth[q].sum()
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(twice).collect()) == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_jpeg_round_trip():
     for n in (0, 1, 64, 65, 5000):
         p = media.padded(os.urandom(n))
@@ -367,7 +397,7 @@ def test_sentencepiece_many_characters_and_little_memory():
     c = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load())
     lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL_PATH)
     assert [x.tolist() for x in c.encode(["\n", "\n\n", "\ue000"])] == lib.encode(["\n", "\n\n", "\ue000"])
-    c.memory, c.batch = 60, 400
+    c.batch = 400
     rng = random.Random(3)
     known = [chr(i) for i in range(0x21, 0x2500) if c.matcher.char[i]]
     assert len(known) > 300
@@ -440,41 +470,177 @@ def test_toxicity_of_long_texts(spark, long_labels):
     assert len(few.hashes)  # fewer documents, not only shorter ones
 
 
-def test_langid_phrases():
-    """The lockstep parse against a plain greedy one."""
+def _parse(t, sample):
+    n = k = 0
+    while k < len(t):
+        e = k + 1
+        while e <= len(t) and t[k:e] in sample:
+            e += 1
+        k, n = max(e - 1, k + 1), n + 1
+    return n
+
+
+@pytest.mark.parametrize(("piece", "pieces"), [(512, 4096), (16, 3), (7, 1)])
+def test_langid_phrases(monkeypatch, piece, pieces):
+    """The lockstep parse, over any pieces, against a plain greedy one of whole texts."""
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "PIECES", pieces)
     rng = random.Random(3)
-    sample = "".join(rng.choice("abc ") for _ in range(300)).encode()
-    a = langid.Automata([sample])
-    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(0, 700))).encode() for _ in range(30)]
+    samples = ["".join(rng.choice("abc ") for _ in range(n)).encode() for n in (300, 900)]
+    a = langid.Automata(samples)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.choice((0, 1, 16, 32, rng.randint(0, 1500))))).encode() for _ in range(30)]
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    got = a.phrases(np.frombuffer(b"".join(texts), np.uint8), starts)[0]
-
-    def parse(t):
-        n = 0
-        for lo in range(0, len(t), langid.PIECE):
-            piece, k = t[lo : lo + langid.PIECE], 0
-            while k < len(piece):
-                e = k + 1
-                while e <= len(piece) and piece[k:e] in sample:
-                    e += 1
-                k, n = max(e - 1, k + 1), n + 1
-        return n
-
-    assert got.tolist() == [parse(t) for t in texts]
-
-
-def test_pipeline(spark, small):
-    import corpus_pipeline as cp
-
-    out = cp.run(spark, small)
-    rows = out.select("doc_id", "n_tokens").collect()
-    d = cp.documents(spark, small)
-    kept = cp.drop_toxic(spark, d, small)
-    assert kept.columns == d.columns and d.count() * 0.85 < kept.count() < d.count()
-    lines = cp.drop_lines(spark, kept, small)
-    assert lines.columns == d.columns and lines.where(F.col("n_chars") != F.length("text")).count() == 0
-    one = cp.one_of_each(spark, lines, small)
-    groups = ngram_join.similar_documents(lines)
-    assert one.count() == groups.select("component_id").distinct().count()
-    copies = mixing.mix_sources(one).where("copies > 0").select("doc_id", "copies").collect()
-    assert collections.Counter(r["doc_id"] for r in rows) == {r["doc_id"]: r["copies"] for r in copies}
+    got = a.phrases(np.frombuffer(b"".join(texts), np.uint8), starts)
+    assert [g.tolist() for g in got] == [[_parse(t, s) for t in texts] for s in samples]
+
+
+def test_langid_query(docs):
+    """op1 in plain Python, given the training passages."""
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"), 4, 2)))
+    assert sorted(model) == ["de", "en"] and all(len(v) <= langid.TRAIN_BYTES for v in model.values())
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    want = collections.Counter()
+    for (i, t), n in texts.items():
+        t = t or ""
+        raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", t.lower().encode())
+        bits = {k: _parse(raw, v) * np.log2(max(2, len(v))) for k, v in sorted(model.items())}
+        want[i, min(bits, key=bits.get) if any(c.isalpha() for c in t) else "und"] += n
+    assert collections.Counter((r["doc_id"], r["lang_pred"]) for r in langid.identify(docs).collect()) == want
+
+
+def test_toxicity_query(docs, labels):
+    """op4 in plain Python, given the weights of the features."""
+    from skiplens.llm.common import TextSlice
+
+    fold = toxicity.held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.fit(docs, labels, ~fold)
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+
+    def of_word(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return sum(weight.get(int(h), 0.0) for h in toxicity.features(TextSlice(None, 0, raw, np.array([0, len(raw)])))[1])
+
+    cache = {}
+    for r in docs.select("doc_id", "text").distinct().collect():
+        clean = 1.0
+        for sentence in re.split("[.!?\n]", (r["text"] or "").lower()):
+            z = model.bias + sum(cache.setdefault(w, of_word(w)) for w in re.findall("[0-9a-z\x80-\U0010ffff]+", sentence))
+            clean *= min(1.0, (1 + np.exp(model.bias)) / (1 + np.exp(z)))
+        cache[r["doc_id"], r["text"]] = 1 - clean
+    got = toxicity.score(docs.select("doc_id", "text"), model).join(docs.select("doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("text").alias("text")).where("n = 1"), "doc_id").collect()
+    assert len(got) > 30
+    for r in got:
+        assert r["score"] == pytest.approx(cache[r["doc_id"], r["text"]], abs=1e-9)
+
+
+def test_labelled_rows_are_bounded(spark):
+    """Many rows of one labelled id are one training document, and training sees no other rows of it."""
+    from skiplens.llm.labelled import labelled_sample
+
+    many = spark.range(3000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 7).alias("text"))
+    lab = spark.createDataFrame([(5, 1), (5, 0), (6, 1)], "doc_id long, toxic int")
+    rows = labelled_sample(many, lab, "toxic", F.lit(True), 100, "x").collect()
+    assert len(rows) == 1 and rows[0]["label"] == 1
+
+
+def test_quality_query(docs, labels):
+    """op7's scores against densities from plain linear algebra."""
+    x, y = np.random.default_rng(3).normal(size=(300, len(quality.FEATURES))), np.arange(300) % 3 > 0
+    x[y] *= 1.5
+    m = quality.train(x, y.astype(int))
+    z = np.clip((x - m.centre) / m.scale, -8, 8)
+    logp = []
+    for k in (0, 1):
+        cov = np.linalg.inv(m.inverse[k].T @ m.inverse[k])
+        d = z - m.mean[k]
+        logp.append(m.prior[k] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(m.score(x), 1 / (1 + np.exp(np.clip(logp[0] - logp[1], -60, 60))))
+    rows = quality.classify(docs, labels).collect()
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in rows)
+
+
+def test_media_query(docs):
+    """op5's columns against hashlib and zlib, and its tensors against a decoder of the whole file."""
+    import zlib
+
+    want = collections.Counter()
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        p = media.padded(raw)
+        img = jpeg.write_dense(media.to_image(p))
+        rgb = jpeg.decode(img)
+        want[r["doc_id"], len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(img), hashlib.sha256(img).hexdigest(), rgb.size, hashlib.sha256(rgb.tobytes()).hexdigest()] += 1
+    got = media.digest(media.store_media(docs)).drop("feature").collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
+def test_sentencepiece_query(docs):
+    """op8 against the library, and one long run of letters."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL_PATH)
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = lib.encode(r["text"] or "")
+        want[r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest()] += 1
+    assert collections.Counter(map(tuple, sentencepiece_codec.digest(docs, sentencepiece_codec.Vocabulary.load()).collect())) == want
+    rng = random.Random(4)
+    c = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.load())
+    for t in ("".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000)), "a" * 50_000):
+        assert c.encode([t])[0].tolist() == lib.encode(t)
+
+
+def test_line_dedup_long_text(spark):
+    """A text of 400,000 equal lines, twice, and one of as many different lines."""
+    line = "This line is certainly longer than forty characters, it is."
+    rows = [(0, "\n".join([line] * 400_000))] * 2 + [(1, "\n".join(f"{line}{i}" for i in range(400_000)))] + [(k, line + "\nx") for k in range(5, 11)] + [(20, None), (21, "")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", F.length("text")).collect()
+    want = [(0, 400_000, 400_000, 0)] * 2 + [(1, 400_000, 0, len(rows[2][1]))] + [(k, 2, 1, 1) for k in range(5, 10)] + [(10, 2, 0, len(line) + 2), (20, 1, 0, None), (21, 1, 0, 0)]
+    assert sorted(map(tuple, got)) == want
+
+
+def _in_process(rows, bits=6):
+    """The stages of suffix dedup without Spark: {document: bytes kept}."""
+    import pyarrow as pa
+
+    def dealt(batches):
+        out = collections.defaultdict(list)
+        for b in batches:
+            for k, n in zip(b["key"].to_pylist(), range(b.num_rows), strict=True):
+                out[k].append(pa.Table.from_batches([b]).slice(n, 1))
+        return [pa.concat_tables(x) for x in out.values()]
+
+    def batch(**more):
+        base = {"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.binary()), "tag": pa.array(range(len(rows)), pa.int64())}
+        return pa.RecordBatch.from_pydict(base | {k: pa.array([v.get(i) for i, _ in rows], pa.binary()) for k, v in more.items()})
+
+    def told(tables, column):
+        return {i: x for t in map(suffix_dedup._answers, tables) for i, x in zip(t["id"].to_pylist(), t[column].to_pylist(), strict=True) if x}
+
+    one = [b for k in range(2) for b in suffix_dedup._deal(bits)(iter([batch().slice(k * len(rows) // 2, len(rows) // 2 + 1 if k else len(rows) // 2)]))]
+    met = dealt(b for t in dealt(one) for b in suffix_dedup._meet(bits)(t).to_batches())
+    asked = batch(asked=told(met, "asked"))
+    sent = dealt(suffix_dedup._send_contexts(bits)(iter([asked.filter(asked["asked"].is_valid())])))
+    more = dealt(b for t in sent for b in suffix_dedup._sort_windows(bits)(t).to_batches())
+    done = suffix_dedup._remove(iter([batch(spans=told(met, "spans"), more=told(more, "spans"))]))
+    return {i: x for b in done for i, x in zip(b["doc_id"].to_pylist(), b["kept"].to_pylist(), strict=True)}
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_dedup_collisions(monkeypatch, collide):
+    """Hashes of three bits change no result: what goes is decided by bytes."""
+    if collide:
+        real = suffix_dedup.range_hash
+        monkeypatch.setattr(suffix_dedup, "range_hash", lambda *x: real(*x) & np.uint64(7))
+    rng = random.Random(6)
+    base = [_text(rng, 40) for _ in range(5)]
+    texts = [*base, base[0], base[1][20:150] + _text(rng, 8), _text(rng, 10) + base[2][5:90] + base[3][:70], "x" * 130, "x" * 90, base[4] + base[4][:60], *(f"{_text(rng, 3)} {base[0][30:110]} {k}" for k in range(6))]
+    rows = [(k, t.encode()) for k, t in enumerate(texts)]
+    first, want = {}, {}
+    for i, b in rows:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first.setdefault(b[k : k + 50], i) < i:
+                gone[k : k + 50] = b"\1" * 50
+        want[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+    assert _in_process(rows) == want and sum(map(len, want.values())) < sum(len(b) for _, b in rows) * 0.8
