@@ -5,9 +5,10 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .plans.report import report
+from .plans.report import compare, report
 from .sources.storage import hadoop_options, storage_options, table_path
 
 
@@ -24,16 +25,24 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--env-creds", action="store_true", help="take credentials from the environment")
     p.add_argument("--public", action="store_true", help="unsigned requests")
     p.add_argument("--version-as-of", type=int, help="look at an older version")
+    p.add_argument("--compare-to", type=int, metavar="VERSION", help="then list files that an older version or its pruning treats otherwise")
     p.add_argument("--mixed-or", choices=("separate", "joint"), default="separate", help="how clauses on both kinds of columns are evaluated")
     p.add_argument("--stats-mode", choices=("strict", "log_entry"), default="strict", help="what counts as having statistics")
     return p
 
 
+def differences(both: DataFrame) -> list[str]:
+    """Lines on the files that two reports treat differently, by path."""
+    state = lambda x: F.when(~F.col(f"in_{x}"), "absent").when(F.col(f"kept_{x}"), "kept").otherwise("dropped")
+    rows = both.select("path", state("before").alias("a"), state("after").alias("b")).where("a <> b").orderBy("path")
+    return [f"{r['path']}: {r['a']} -> {r['b']}" for r in rows.toLocalIterator()]
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        path = table_path(args.path)
-        options = hadoop_options(storage_options(args.region, args.public, args.env_creds, args.option))
+        given = storage_options(args.region, args.public, args.env_creds, args.option)
+        path, options = table_path(args.path, given), hadoop_options(given, args.path)
         if spark is None:
             builder = SparkSession.builder.appName("skiplens").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
             for k, v in options.items():
@@ -42,6 +51,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         r = report(spark, path, args.path, args.where, args.version_as_of, args.mixed_or, args.stats_mode)
         out = r.json() if args.format == "json" else r.text(args.verbose)
         failures = r.failures(args.min_pruning, args.assert_stats)
+        if args.compare_to is not None:
+            old = report(spark, path, args.path, args.where, args.compare_to, args.mixed_or, args.stats_mode)
+            out += "".join(f"\n{line}" for line in differences(compare(old, r)))
     except Exception as e:  # noqa: BLE001  any failure is one line on stderr and nothing on stdout
         print(f"Error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
         return 1

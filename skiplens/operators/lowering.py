@@ -18,6 +18,10 @@ from ..predicate.tree import SWAPPED, And, Col, Compare, IsNull, Lit, Or, Predic
 _OPS = {"=": Column.__eq__, "<>": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
 
 
+#: Fixed by the log format: where a field's metadata names its column in files and statistics.
+PHYSICAL_NAME = "delta.columnMapping.physicalName"
+
+
 def unknown() -> Column:
     return F.lit(None).cast("boolean")
 
@@ -68,13 +72,27 @@ class FileColumns:
     def is_partition(self, col: Col) -> bool:
         return col.name in self.parts
 
+    def physical(self, col: Col) -> list[str]:
+        """The names under which the log keeps a column: its own, or those that the schema maps it to."""
+        kind, out = self.schema, []
+        for part in col.parts:
+            known = isinstance(kind, StructType) and part in kind.names
+            out.append((kind[part].metadata or {}).get(PHYSICAL_NAME, part) if known else part)
+            kind = kind[part].dataType if known else None
+        return out
+
     def partition(self, col: Col) -> Column:
         """The text of a partition value; the empty one is NULL."""
-        return F.nullif(F.col(self.values)[col.name], F.lit(""))
+        return F.nullif(F.col(self.values)[self.physical(col)[0]], F.lit(""))
+
+    def has_partition(self, col: Col) -> Column:
+        """Whether the log says anything about a partition value, NULL included."""
+        return F.coalesce(F.map_contains_key(self.values, self.physical(col)[0]), F.lit(False))
 
     def stat(self, side: str, col: Col) -> Column:
-        out = F.col(f"{self.stats}.{side}")[col.parts[0]]
-        return F.get_json_object(out, "$" + "".join(f"['{p}']" for p in col.parts[1:])) if len(col.parts) > 1 else out
+        first, *rest = self.physical(col)
+        out = F.col(f"{self.stats}.{side}")[first]
+        return F.get_json_object(out, "$" + "".join(f"['{p}']" for p in rest)) if rest else out
 
     def low(self, col: Col, kind: DataType) -> Column:
         return self.stat("minValues", col).try_cast(kind)
@@ -95,7 +113,14 @@ def _constant(e: Compare) -> Column:
 
 
 def partition_leaf(e, f: FileColumns) -> Column:
-    """Ordinary SQL on typed values: a NULL value matches no comparison, one that can't be cast is unknown."""
+    """Ordinary SQL on typed values: a NULL value matches no comparison; one that can't be cast, or that the log lacks, is unknown."""
+    known = F.lit(True)
+    for c in columns(e):
+        known = known & f.has_partition(c)
+    return F.when(known, _known_leaf(e, f))
+
+
+def _known_leaf(e, f: FileColumns) -> Column:
     if isinstance(e, IsNull):
         raw = f.partition(e.operand)
         return raw.isNotNull() if e.negated else raw.isNull()

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import column_bounds, format_size, stats_text
@@ -46,6 +47,11 @@ class Report:
         """Newest commit first, in the order of its lines."""
         return self.pruning.files.orderBy(F.desc("commit_version"), "line_no")
 
+    def candidates(self, k: int) -> Iterator[Row]:
+        """Files that come into phase `k`; the driver holds one partition of them at a time."""
+        files = self.ordered_files()
+        return (files.where(self.pruning.phases[k - 1].flag) if k else files).toLocalIterator()
+
     def inputs(self) -> list[int]:
         return [self.total_files, *self.kept[:-1]][: len(self.kept)]
 
@@ -54,13 +60,12 @@ class Report:
         if self.predicate is not None:
             out.append(f"Predicate:   {self.predicate}")
         out += ["", f"Files in snapshot: {self.total_files:,}"]
-        rows = self.ordered_files().collect() if verbose and self.kept else []
         for k, (phase, before, after) in enumerate(zip(self.pruning.phases, self.inputs(), self.kept, strict=True)):
             dropped = max(before - after, 0)
             out += ["", f"Phase {k + 1}: {phase.name}", f"  predicate:       {phase.predicate}"]
             out.append(f"  files remaining: {after:,}  (-{dropped:,}, {_pct(before, after):.0f}% pruned)")
             if verbose:
-                out += ["", *(self._line(r, phase.flag) for r in rows if k == 0 or r[self.pruning.phases[k - 1].flag])]
+                out += ["", *(self._line(r, phase.flag) for r in self.candidates(k))]
         if len(self.kept) > 1:
             out += ["", f"Total reduction: {self.total_files:,} -> {self.kept[-1]:,} files ({self.total_pruning_pct:.0f}% pruned)"]
         return "\n".join(out)
@@ -74,10 +79,9 @@ class Report:
         return f"  [{tag}] {r['path'].rsplit('/', 1)[-1]}  ({format_size(r['size'] or 0)}{records})" + (f"  partition({parts})" if parts else "") + stats_text(stats)
 
     def document(self) -> dict:
-        rows = self.ordered_files().collect() if self.kept else []
         phases = []
         for k, (phase, before, after) in enumerate(zip(self.pruning.phases, self.inputs(), self.kept, strict=True)):
-            files = [self._file(r, phase.flag) for r in rows if k == 0 or r[self.pruning.phases[k - 1].flag]]
+            files = [self._file(r, phase.flag) for r in self.candidates(k)]
             phases.append({"name": phase.name, "predicate": phase.predicate, "input_files": before, "output_files": after, "pruned_files": max(before - after, 0), "pruning_pct": _pct(before, after), "files": files})
         out = {
             "table": self.table, "version": self.version, "predicate": self.predicate, "total_files": self.total_files,
@@ -106,7 +110,7 @@ class Report:
     def missing_stats(self) -> list[str]:
         if self.stats_mode == "log_entry":
             return []
-        return [r["path"] for r in self.ordered_files().where("NOT has_stats").select("path").collect()]
+        return [r["path"] for r in self.ordered_files().where("NOT has_stats").select("path").toLocalIterator()]
 
     def failures(self, min_pruning: float | None = None, assert_stats: bool = False) -> list[str]:
         out = []
