@@ -16,10 +16,12 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import basename, partition_text, percent_text, size_text
 from ..operators.filestats import add_lines, compute_stats, has_stats
+from ..operators.lowering import FileColumns, keep
 from ..operators.pruning import prune
 from ..operators.replay import live_files, table_metadata, table_version
 from ..predicate import analyze, parse
 from ..sources.log import parse_lines
+from . import table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -217,16 +219,14 @@ SOUND = ("l_returnflag = 'A' AND l_extendedprice > 100000", "NOT (l_orderkey < 3
 
 
 def soundness_no_false_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that match but whose file was dropped, by predicate: none."""
+    """Rows that match but whose file was dropped, by predicate: none.  Rows are counted by file before they meet the files."""
     files, schema, parts = lineitem_files(spark, sf_dir)
-    t = _lineitem(spark, sf_dir).withColumn("path", _path("l_returnflag"))
-    out = None
-    for k, text in enumerate(SOUND):
-        p = prune(files, text, schema, parts)
-        dropped = p.files.where(~F.col(p.phases[-1].flag)).select("path")
-        lost = t.where(text).join(dropped, "path", "left_semi").agg(F.lit(k).alias("id"), F.count("*").alias("lost_rows"))
-        out = lost if out is None else out.union(lost)
-    return out
+    f = FileColumns(schema, frozenset(parts))
+    dropped = files.select("path", *[(~keep(parse(text), f)).alias(f"drop_{k}") for k, text in enumerate(SOUND)])
+    rows = _lineitem(spark, sf_dir).withColumn("path", _path("l_returnflag"))
+    hits = rows.groupBy("path").agg(*[F.count_if(F.expr(text)).alias(f"hits_{k}") for k, text in enumerate(SOUND)])
+    lost = hits.join(dropped, "path").agg(*[F.coalesce(F.sum(F.when(F.col(f"drop_{k}"), F.col(f"hits_{k}")).otherwise(0)), F.lit(0)).alias(f"lost_{k}") for k in range(len(SOUND))])
+    return lost.select(F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.col(f"lost_{k}").alias("lost_rows")) for k in range(len(SOUND))])).alias("x")).select("x.*")
 
 
 QUERIES: dict[str, Query] = {
@@ -246,6 +246,7 @@ QUERIES: dict[str, Query] = {
     "min_pruning_assert": min_pruning_assert,
     "predicate_classification": predicate_classification,
     "soundness_no_false_drop": soundness_no_false_drop,
+    **table_queries.QUERIES,
 }
 
 _ORDERS = """
@@ -278,4 +279,5 @@ UNION ALL SELECT 2::INT, 'Data skipping (min/max statistics)', b, c, b - c, (b -
   (4, 'l_returnflag = ''A''', 'l_tax < 100', 'l_returnflag = ''N'' OR l_quantity > 50', 'Incomplete', 1)
 ) AS t(id, partition_safe, stats_safe, unsplittable, confidence, notes)""",
     "soundness_no_false_drop": "SELECT id::INT AS id, 0::BIGINT AS lost_rows FROM range(4) AS r(id)",
+    **table_queries.ORACLE_SQL,
 }

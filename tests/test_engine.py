@@ -14,7 +14,7 @@ from skiplens.operators.replay import live_files
 from skiplens.plans.report import report
 from skiplens.predicate import PredicateError, analyze, parse, to_sql
 from skiplens.sources.log import parse_lines, read_log
-from skiplens.sources.storage import TableError, storage_options, table_path
+from skiplens.sources.storage import TableError, hadoop_options, storage_options, table_path
 from skiplens.streaming.tail import stream_log
 
 FIELDS = [("name", "string"), ("age", "integer"), ("country", "string"), ("score", "double")]
@@ -148,6 +148,19 @@ def test_checkpoint(spark, tmp_path, capsys, parts):
     assert main([path], spark) == 1 and "lacks the commit of version 3" in capsys.readouterr().err
 
 
+def test_compare(spark, tables, capsys):
+    assert main([tables["P"], "-w", "age > 30", "--compare-to", "4"], spark) == 0
+    assert capsys.readouterr().out.rstrip().endswith("country=IT/part-5.parquet: absent -> kept")
+
+
+def test_physical_names(spark, tmp_path):
+    """Values under mapped names are found; a key that the log lacks drops nothing."""
+    fields = [{"name": n, "type": "long", "nullable": True, "metadata": {"delta.columnMapping.physicalName": f"col-{n}"}} for n in ("k", "v")]
+    meta = {"metaData": {"id": "x", "schemaString": json.dumps({"type": "struct", "fields": fields}), "partitionColumns": ["k"]}}
+    path = _write(tmp_path / "t", [[meta, _add("a", 1, 1, {"col-v": (5, 5)}, {"col-k": "1"}), _add("b", 1, 1, {"col-v": (9, 9)}, {"col-k": "2"}), _add("c", 1, 1, {"col-v": (9, 9)}, {})]])
+    assert report(spark, path, predicate="k = 1").kept == [2] and report(spark, path, predicate="k = 2 AND v > 6").kept == [2, 2] and report(spark, path, predicate="v < 6").kept == [1]
+
+
 def test_stream(spark, tables, tmp_path):
     q = stream_log(spark, tables["P"]).writeStream.format("memory").queryName("tail").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
@@ -169,7 +182,9 @@ def test_small_functions():
     assert storage_options("eu", True, True, ["A=b=c", "a=d"]) == {"region": "eu", "skip_signature": "true", "allow_env": "true", "a": "d"}
     with pytest.raises(TableError):
         storage_options(options=["x"])
-    assert table_path("s3://bucket/t/") == "s3a://bucket/t"
+    assert table_path("s3://bucket/t/") == "s3a://bucket/t" and table_path("hdfs:///x/") == "hdfs:///x"
+    assert hadoop_options({"region": "eu", "skip_signature": "true"}, "gs://b/t") == {"fs.gs.auth.type": "UNAUTHENTICATED"}
+    assert hadoop_options({"account_name": "a", "account_key": "k"}, "az://c/t") == {"fs.azure.account.key.a.dfs.core.windows.net": "k"}
 
 
 def _random(rng, depth=0):
