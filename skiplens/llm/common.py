@@ -7,7 +7,6 @@ UTF-8 bytes of many documents at once and never builds Python strings.
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -48,20 +47,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared checkpoint folder and cuts its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+#: Lets Spark delete the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
 
-    The cleaner only acts when the driver's JVM collects garbage, which a small
-    driver heap may not do for hours; until then the executors' disks fill up.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes `df` to the shared checkpoint folder, cuts its lineage and deletes the shuffles that led to it."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 #: Rows up to which a checked table of totals is broadcast; beyond, the join shuffles and AQE splits hot keys.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, TextSlice, checkpoint, few, lean, mix64, prefix_hash, range_hash, release, text_slices, word_bounds
+from .common import LOWER, SPACE, TextSlice, checkpoint, few, lean, mix64, prefix_hash, range_hash, text_slices, word_bounds
 from .components import connected_components, forest
 from .packing import PACKED, block_bits, heads, joined, packed, runs, text_totals, values
 
@@ -427,8 +427,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = d.mapInArrow(_deal(bits, blocks, common_columns(d, k, n_rows), k), PACKED)
     shared = dealt.groupBy("key").applyInArrow(lean(_shared(bits, blocks)), PACKED)
     rows = checkpoint(shared.groupBy("key").applyInArrow(lean(_survivors(blocks, percent)), _ROWS))
-    del dealt, shared
-    release(docs.sparkSession)
     sets = rows.where("columns IS NOT NULL").select("n", "mark", "columns", "frequencies")
     meet = sets.mapInArrow(_candidates(bits, blocks, percent), PACKED).groupBy("key").applyInArrow(lean(_meet(bits)), "a long, b long")
     groups = checkpoint(connected_components(meet))
