@@ -12,7 +12,7 @@ import json
 import uuid
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
@@ -170,12 +170,12 @@ def written_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(found, "n_regionkey").select("n_regionkey", "told", "found", "lo", "sized")
 
 
-def _cases(spark: SparkSession, sf_dir: str, values: dict[str, Column], low: Column, high: Column, schema: StructType, parts: list[str], predicates: tuple[str, ...], keep_null: bool = True) -> DataFrame:
+def _cases(spark: SparkSession, sf_dir: str, values: dict[str, str], low: str, high: str, schema: StructType, parts: list[str], predicates: tuple[str, ...], keep_null: bool = True) -> DataFrame:
     """Which files, one for each supplier, stay for each predicate."""
     t = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"))
-    made = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), v.cast("string").alias("value")) for n, v in values.items()])) if values else F.from_json(F.lit("{}"), "map<string,string>")
+    made = F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), F.expr(v).cast("string").alias("value")) for n, v in values.items()])) if values else F.from_json(F.lit("{}"), "map<string,string>")
     made = made if keep_null else F.map_filter(made, lambda _, v: v.isNotNull())
-    stats = F.to_json(F.struct(F.lit(2).alias("numRecords"), low.alias("minValues"), high.alias("maxValues")))
+    stats = F.to_json(F.struct(F.lit(2).alias("numRecords"), F.expr(low).alias("minValues"), F.expr(high).alias("maxValues")))
     line = F.to_json(F.struct(F.struct(F.col("k").cast("string").alias("path"), made.alias("partitionValues"), F.lit(1).alias("size"), stats.alias("stats")).alias("add")), {"ignoreNullFields": "false"})
     files, out = live_files(parse_lines(t.select(F.lit(0).cast("long").alias("commit_version"), F.lit(0).alias("line_no"), line.alias("line")))), None
     for text in predicates:
@@ -185,27 +185,26 @@ def _cases(spark: SparkSession, sf_dir: str, values: dict[str, Column], low: Col
     return out
 
 
-_K = F.col("k")
 _LONG, _BOOL = LongType(), BooleanType()
-_SOME = F.when(_K % 4 == 0, None).when(_K % 4 == 1, "abc").otherwise((_K % 4).cast("string"))
-_FLAG = F.when(_K % 3 == 0, F.lit(True)).otherwise(F.lit(False))
-_TOP = F.when(_K % 3 == 1, F.lit(False)).otherwise(F.lit(True))
-#: name: (partition values, low, high, schema, partition columns, NULL values kept, {predicate: SQL})
+_SOME = "CASE WHEN k % 4 = 0 THEN NULL WHEN k % 4 = 1 THEN 'abc' ELSE CAST(k % 4 AS STRING) END"
+_FLAG, _TOP = "named_struct('b', k % 3 = 0)", "named_struct('b', k % 3 <> 1)"
+_V = "named_struct('v', k)"
+#: name: (partition values, low and high in SQL, schema, partition columns, NULL values kept, {predicate: SQL})
 CASES = {
-    "partition_null_and_bad_cast": ({"p": _SOME}, F.struct(_K.alias("v")), F.struct(_K.alias("v")), StructType([StructField("p", _LONG), StructField("v", _LONG)]), ["p"], True, {
+    "partition_null_and_bad_cast": ({"p": _SOME}, _V, _V, StructType([StructField("p", _LONG), StructField("v", _LONG)]), ["p"], True, {
         "p > 2": "CASE WHEN k % 4 = 0 THEN false WHEN k % 4 = 1 THEN true ELSE k % 4 > 2 END", "NOT p > 2": "CASE WHEN k % 4 = 0 THEN false WHEN k % 4 = 1 THEN true ELSE k % 4 <= 2 END",
         "p IS NULL": "k % 4 = 0", "p IS NOT NULL AND v < 20": "k % 4 <> 0 AND k < 20", "p = NULL": "false"}),
-    "partition_missing_key": ({"p": _SOME}, F.struct(_K.alias("v")), F.struct(_K.alias("v")), StructType([StructField("p", _LONG), StructField("v", _LONG)]), ["p"], False, {
+    "partition_missing_key": ({"p": _SOME}, _V, _V, StructType([StructField("p", _LONG), StructField("v", _LONG)]), ["p"], False, {
         "p > 2": "k % 4 IN (0, 1, 3)", "p IS NULL": "k % 4 = 0"}),
-    "partition_pair": ({"p": _K % 5, "q": _K % 3}, F.struct(_K.alias("v")), F.struct(_K.alias("v")), StructType([StructField("p", _LONG), StructField("q", _LONG), StructField("v", _LONG)]), ["p", "q"], True, {
+    "partition_pair": ({"p": "k % 5", "q": "k % 3"}, _V, _V, StructType([StructField("p", _LONG), StructField("q", _LONG), StructField("v", _LONG)]), ["p", "q"], True, {
         "p = q": "k % 5 = k % 3", "NOT p <= q": "k % 5 > k % 3", "p < v": "true"}),
-    "boolean_columns": ({}, F.struct(_FLAG.alias("b")), F.struct(_TOP.alias("b")), StructType([StructField("b", _BOOL)]), [], True, {
+    "boolean_columns": ({}, _FLAG, _TOP, StructType([StructField("b", _BOOL)]), [], True, {
         "b": "k % 3 <> 1", "NOT b": "k % 3 <> 0", "b = true": "k % 3 <> 1", "b <> true": "k % 3 <> 0", "false = b": "k % 3 <> 0"}),
-    "nested_column": ({}, F.struct(F.struct(F.struct(_K.alias("c")).alias("b")).alias("a")), F.struct(F.struct(F.struct((_K + 5).alias("c")).alias("b")).alias("a")),
+    "nested_column": ({}, "named_struct('a', named_struct('b', named_struct('c', k)))", "named_struct('a', named_struct('b', named_struct('c', k + 5)))",
         StructType([StructField("a", StructType([StructField("b", StructType([StructField("c", _LONG)]))]))]), [], True, {"a.b.c > 30": "k + 5 > 30", "a.b.c BETWEEN 10 AND 12": "k + 5 >= 10 AND k <= 12"}),
-    "physical_names": ({"col-1": _K % 4}, F.struct(_K.alias("col-2")), F.struct(_K.alias("col-2")),
+    "physical_names": ({"col-1": "k % 4"}, "named_struct('col-2', k)", "named_struct('col-2', k)",
         StructType([StructField("p", _LONG, True, {PHYSICAL_NAME: "col-1"}), StructField("v", _LONG, True, {PHYSICAL_NAME: "col-2"})]), ["p"], True, {"p = 2": "k % 4 = 2", "p = 2 AND v > 40": "k % 4 = 2 AND k > 40"}),
-    "constant_clauses": ({"p": _K % 4}, F.struct(_K.alias("v")), F.struct(_K.alias("v")), StructType([StructField("p", _LONG), StructField("v", _LONG)]), ["p"], True, {
+    "constant_clauses": ({"p": "k % 4"}, _V, _V, StructType([StructField("p", _LONG), StructField("v", _LONG)]), ["p"], True, {
         "1 = 2 OR v < 9": "k < 9", "1 < 2 AND v >= 9": "k >= 9", "NULL IS NOT NULL OR v = 3": "k = 3"}),
 }
 
