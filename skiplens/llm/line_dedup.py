@@ -12,14 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint, few
+
 #: The characters stripped from both ends of a line: blank and \t \n \v \f \r.
 STRIPPED = "\x20\x09\x0a\x0b\x0c\x0d"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(STRIPPED))
+
+
 def line_key(line: Column) -> Column:
-    """The normalised form by which lines are compared."""
-    return F.translate(F.btrim(line, F.lit(STRIPPED)), _UPPER, _LOWER)
+    """The normalised form by which lines are compared.
+
+    `translate` looks every character up; a line of one byte a character has no
+    capitals but A-Z, and `lower` does the same to it at once.
+    """
+    bare = _bare(line)
+    return F.when(F.octet_length(line) == F.length(line), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
 def _hash(key: Column) -> Column:
@@ -46,13 +57,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("x"))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *rest)
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    keys = F.transform(lines, lambda line, i: F.struct(i.alias("pos"), F.when(F.length(line) >= min_chars, line_key(line)).alias("key")))
-    long = F.filter(keys, lambda k: F.length(k["key"]) >= min_chars)
-    # two steps: a text must not go through the explosion with each of its lines
-    held = d.where("doc_id IS NOT NULL").select("doc_id", name.alias("name"), long.alias("keys"))
-    held = held.select("doc_id", "name", F.explode("keys").alias("k")).select("doc_id", "name", "k.pos", _hash(F.col("k.key")).alias("h"))
+    # two steps: a text must not go through the explosion with each of its lines; an inner explosion would
+    # split each text once more, for a filter of its own, and a hash that can be null be made once more, for another
+    held = d.where("doc_id IS NOT NULL").select("doc_id", name.alias("name"), lines.alias("lines"))
+    held = held.select("doc_id", "name", F.posexplode_outer("lines").alias("pos", "line")).where(F.length("line") >= min_chars)
+    held = held.where(F.length(_bare(F.col("line"))) >= min_chars).select("doc_id", "name", "pos", F.coalesce(_hash(line_key(F.col("line"))), F.lit(b"")).alias("h"))
     often = held.groupBy("h").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    drops = held.join(often.select("h", "keeper"), "h").where(F.col("doc_id") != F.col("keeper"))
+    # written, so that the join has no aggregation below it and a line in very many documents can be split over tasks
+    often = few(checkpoint(often.select("h", "keeper")))
+    drops = held.join(often, "h").where(F.col("doc_id") != F.col("keeper"))
     # equal rows of one id send equal positions; a set holds no more of them than the text has lines
     drops = drops.groupBy("doc_id", "name").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
     told = d.withColumn("name", name).join(drops, ["doc_id", "name"], "left").select("doc_id", "text", lines.alias("lines"), "drops", *["row"] * carry)
