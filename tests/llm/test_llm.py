@@ -644,3 +644,11 @@ def test_suffix_dedup_collisions(monkeypatch, collide):
                 gone[k : k + 50] = b"\1" * 50
         want[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g)
     assert _in_process(rows) == want and sum(map(len, want.values())) < sum(len(b) for _, b in rows) * 0.8
+
+
+def test_line_dedup_many_lines(docs, monkeypatch):
+    """Totals too many to be broadcast give the same result."""
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or "")
+    want = sorted(line_dedup.dedup_lines(docs).collect(), key=key)
+    monkeypatch.setattr("skiplens.llm.common.FEW_ROWS", 0)
+    assert sorted(line_dedup.dedup_lines(docs).collect(), key=key) == want
