@@ -87,6 +87,7 @@ def held_out(col, modulus: int, remainder: int):
 
 def give_back() -> None:
     """Returns freed memory to the system: a Python worker lives on, idle or in the next stage, beside the executor's heap."""
+    _POW.pop("long", None)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -149,28 +150,29 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", transfo
             hi = int(np.searchsorted(off, off[lo] + max_bytes, side="right")) - 1
             hi = min(max(hi, lo + 1), lo + SLICE_DOCS, len(off) - 1)
             yield TextSlice(batch, lo, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            _POW.pop("long", None)
             lo = hi
         del batch, arr, data, off
         give_back()
 
 
 _POW: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-#: Powers that a worker keeps at most, 16 bytes each.
+#: Powers that a worker keeps for good at most, 16 bytes each.
 KEPT_POWERS = 4 * SLICE_BYTES
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i < n; a worker keeps those for slices of common size only."""
-    if len(kept := _POW.get("all", ((), ()))[0]) >= n:
-        return kept[:n], _POW["all"][1][:n]
+    """base^i and base^-i modulo 2^64 for i < n; a worker keeps those for more than KEPT_POWERS until the slice or group is done."""
+    for kept in _POW.values():
+        if len(kept[0]) >= n:
+            return kept[0][:n], kept[1][:n]
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         a = np.full(max(n, SLICE_BYTES + 1), base, _U)
         a[0] = 1
         out.append(np.cumprod(a, dtype=_U, out=a))
-    if n <= KEPT_POWERS:
-        _POW["all"] = tuple(out)
+    _POW["all" if n <= KEPT_POWERS else "long"] = tuple(out)
     return out[0][:n], out[1][:n]
 
 

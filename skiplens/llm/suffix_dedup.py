@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, prefix_hash, range_hash, text_slices
+from .common import checkpoint, lean, mix64, prefix_hash, range_hash, text_slices
 from .packing import PACKED, block_bits, heads, joined, packed, runs, text_totals, values
 
 U = np.uint64
@@ -524,7 +524,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answers = checkpoint(met.groupBy("key").applyInArrow(_answers, _ANSWERS))
     asked = answers.where("asked IS NOT NULL").select("id", "asked")
     sent = d.join(asked, F.col("doc_id") == F.col("id")).select("doc_id", "tag", "text", "asked").mapInArrow(_send_contexts(bits), PACKED)
-    windows = sent.groupBy("key").applyInArrow(_sort_windows(bits), PACKED)
+    windows = sent.groupBy("key").applyInArrow(lean(_sort_windows(bits)), PACKED)
     more = checkpoint(windows.groupBy("key").applyInArrow(_answers, _ANSWERS).select("id", F.col("spans").alias("more")))
     told = answers.where("spans IS NOT NULL").select("id", "spans").join(more, "id", "full")
     out = d.join(told, F.col("doc_id") == F.col("id"), "left")

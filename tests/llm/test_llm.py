@@ -7,10 +7,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from skiplens.llm import components, embed_dedup, jpeg, langid, line_dedup, media, mixing, ngram_join, quality, sentencepiece_codec, suffix_dedup, toxicity
+from skiplens.llm import common, components, embed_dedup, jpeg, langid, line_dedup, media, mixing, ngram_join, quality, sentencepiece_codec, suffix_dedup, toxicity
 from skiplens.llm import queries as q
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, score double, key string, id long, hash long, row string, n_lines long"
@@ -601,7 +602,6 @@ def test_line_dedup_long_text(spark):
 
 def _in_process(rows, bits=6):
     """The stages of suffix dedup without Spark: {document: bytes kept}."""
-    import pyarrow as pa
 
     def dealt(batches):
         out = collections.defaultdict(list)
@@ -646,6 +646,27 @@ def test_suffix_dedup_collisions(monkeypatch, collide):
     assert _in_process(rows) == want and sum(map(len, want.values())) < sum(len(b) for _, b in rows) * 0.8
 
 
+def test_powers_of_long_slices(monkeypatch):
+    """They are made once for all hashes of a slice or group, and not kept after it."""
+    monkeypatch.setattr(common, "_POW", {})
+    monkeypatch.setattr(common, "KEPT_POWERS", common.SLICE_BYTES // 2)
+    n = common.SLICE_BYTES + 100
+    data = np.tile(np.arange(50, 57, dtype=np.uint8), n // 7 + 1)[:n]
+    prefix = common.prefix_hash(data)
+    made = common.powers(n + 1)[0].base
+    assert common.range_hash(prefix, np.array([0]), np.array([70])) == common.range_hash(prefix, np.array([n - n % 7 - 70]), np.array([n - n % 7]))
+    assert common.powers(n + 1)[0].base is made
+    common.give_back()
+    assert "long" not in common._POW
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n, "y"]})
+    seen = []
+    for s in common.text_slices([batch]):
+        seen.append("long" in common._POW)
+        common.prefix_hash(s.data)
+    assert seen == [False, False]
+    assert "long" not in common._POW
+
+
 def test_line_dedup_many_lines(docs, monkeypatch):
     """Totals too many to be broadcast give the same result."""
     key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or "")
