@@ -46,7 +46,7 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, StructTyp
     s = compute_stats(o, ["o_orderstatus", "key"], ["o_orderkey", "o_custkey"])
     path = F.concat(F.lit("o_orderstatus="), "o_orderstatus", F.lit("/part-"), F.lpad(F.col("key").cast("string"), 8, "0"), F.lit(".parquet"))
     lines = add_lines(s, ["o_orderkey", "o_custkey"], path, F.col("key") % 7, {"o_orderstatus": F.col("o_orderstatus")})
-    place = F.ascii(F.get_json_object("line", "$.add.partitionValues.o_orderstatus")) * 10_000_000 + F.regexp_extract(F.get_json_object("line", "$.add.path"), r"part-0*(\d+)", 1).cast("int")
+    place = F.ascii(F.get_json_object("line", "$.add.partitionValues.o_orderstatus")).cast("long") * 100_000_000 + F.regexp_extract(F.get_json_object("line", "$.add.path"), r"part-0*(\d+)", 1).cast("long")
     schema = StructType([StructField("o_orderkey", LongType()), StructField("o_custkey", LongType()), StructField("o_orderstatus", StringType())])
     return lines.withColumn("line_no", place + 1), schema
 

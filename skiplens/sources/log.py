@@ -31,13 +31,20 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_log(spark: SparkSession, table: str, version: int | None = None) -> DataFrame:
-    """Actions of all commits up to `version`, read in parallel by file."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{table.rstrip('/')}/_delta_log")
+    """Actions of all commits up to `version`, read in parallel by block of a file.
+
+    `line_no` grows along a commit, but has gaps: it is made of the start of
+    the line's block and the line's place among the rows of its task, which
+    reads a block from front to back.
+    """
+    files = spark.read.text(f"{table.rstrip('/')}/_delta_log", lineSep="\n", pathGlobFilter="*.json")
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    commits = files.select(F.when(name.rlike(COMMIT_FILE), F.substring(name, 1, 20).cast("long")).alias("commit_version"), "value").where("commit_version IS NOT NULL")
+    place = F.monotonically_increasing_id().bitwiseAND(2**33 - 1)
+    line_no = (F.col("_metadata.file_block_start").cast("decimal(19,0)") * F.lit(2**33) + place).cast("decimal(38,0)")
+    commits = files.select(F.when(name.rlike(COMMIT_FILE), F.substring(name, 1, 20).cast("long")).alias("commit_version"), line_no.alias("line_no"), F.col("value").alias("line")).where("commit_version IS NOT NULL")
     if version is not None:
         commits = commits.where(F.col("commit_version") <= version)
-    return parse_lines(commits.select("commit_version", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")))
+    return parse_lines(commits)
 
 
 def read_checkpoint(spark: SparkSession, paths: str | list[str], version: int) -> DataFrame:

@@ -124,6 +124,28 @@ def test_gaps(spark, tmp_path, capsys):
     assert main([path, "--assert-stats", "--stats-mode", "log_entry"], spark) == 0
 
 
+@pytest.mark.parametrize("block", ["128m", "4k"])
+def test_line_order(spark, tmp_path, block):
+    """Files are listed by commit and line, and the last line on a file counts, also where a commit is read in blocks."""
+    add = lambda p: {"add": {"path": p, "size": 1, "partitionValues": {}}}
+    gone = lambda p: {"remove": {"path": p}}
+    names = [[f"{v}-{k * 7919 % 2003}" for k in range(2003)] for v in range(3)]
+    commits = [[_meta(["name"]), _meta([]), *map(add, n)] for n in names]
+    commits[1] = [gone("back"), *commits[1], *map(gone, names[0][:900]), add("back"), add("gone"), "", gone("gone")]
+    path = _write(tmp_path / "t", commits)
+    log = tmp_path / "t" / "_delta_log" / f"{2:020d}.json"
+    log.write_bytes(log.read_bytes().replace(b"\n", b"\r\n"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        r = report(spark, path)
+        assert [x["path"] for x in r.ordered_files().collect()] == names[2] + names[1] + ["back"] + names[0][900:]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("parts", [1, 2])
 def test_checkpoint(spark, tmp_path, capsys, parts):
     """A table whose early commits were cleaned up after a checkpoint."""
