@@ -16,10 +16,10 @@ def basename(path: Column) -> Column:
 
 
 def size_text(size: Column) -> Column:
-    """Bytes up to 1023 B, then one decimal of KB, MB or GB."""
+    """Bytes up to 1023 B, then one decimal of KB, MB or GB, ties to even as in format_size()."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(UNITS[1:], 1):
-        out = F.when(size >= 1024**k, F.format_string(f"%.1f {unit}", size / float(1024**k))).otherwise(out)
+        out = F.when(size >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(size / float(1024**k), 1))).otherwise(out)
     return out
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skiplens.cli import main
-from skiplens.functions.text import format_size, stat_text
+from skiplens.functions.text import format_size, size_text, stat_text
 from skiplens.operators.filestats import add_lines, compute_stats
 from skiplens.operators.pruning import prune
 from skiplens.operators.replay import live_files
@@ -209,6 +209,16 @@ def test_small_functions():
     assert hadoop_options({"account_name": "a", "account_key": "k"}, "az://c/t") == {"fs.azure.account.key.a.dfs.core.windows.net": "k"}
 
 
+def test_size_text(spark):
+    """The Column rounds as format_size() does: to even where a size lies between two tenths."""
+    fixed = {6400: "6.2 KB", 19200: "18.8 KB", 134400: "131.2 KB", 13 << 18: "3.2 MB", 15 << 18: "3.8 MB", 13 << 28: "3.2 GB", (1 << 20) - 1: "1024.0 KB", 1023: "1023 B"}
+    rng = random.Random(5)
+    sizes = [*fixed, 0, 1, *range(0, 1 << 20, 1280), *(rng.randrange(1 << rng.randint(1, 50)) for _ in range(3000)), *(m << (4 + 10 * k) for k in (1, 2) for m in range(64, 4000, 4))]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", size_text(F.col("n")).alias("t")).collect()
+    assert [r["t"] for r in rows] == [format_size(n) for n in sizes]
+    assert [r["t"] for r in rows[: len(fixed)]] == list(fixed.values())
+
+
 def _random(rng, depth=0):
     if depth < 3 and rng.random() < 0.6:
         kind = rng.choice(("AND", "OR", "NOT"))
