@@ -4,6 +4,8 @@ After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).
 Links never leave the executors; each round is written to the checkpoint
 folder.  Minima are aggregated before they are shuffled, and the joins are
 plain equi-joins, so AQE can split the partition of a vertex with many links.
+What is left of up to LOCAL_LINKS links once each task has merged its own is
+joined by one task, as a round costs five shuffles however few they are.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Links that one task looks at together, 16 bytes each.  More links in all than that go by rounds.
+LOCAL_LINKS = 1_000_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star forest with the components of the links (a, b): (vertex, smallest vertex of its component)."""
@@ -39,9 +44,29 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    u, v, held = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(np.concatenate(u), np.concatenate(v))], names=["u", "v"])
+
     for batch in batches:
-        u, v = forest(batch.column("u").to_numpy(), batch.column("v").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        u.append(batch.column("u").to_numpy())
+        v.append(batch.column("v").to_numpy())
+        held += batch.num_rows
+        if held >= LOCAL_LINKS:
+            yield flush()
+            u, v, held = [], [], 0
+    if held:
+        yield flush()
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(vertex, component) of all links at once."""
+    got = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+    if got:
+        vertex, low = forest(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        least = np.unique(low)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([vertex, least])), pa.array(np.concatenate([low, least]))], names=["vertex", "component"])
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -51,10 +76,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     repeated links change nothing.  No links: an empty result.
     """
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    e = checkpoint(e.mapInArrow(_local, "u long, v long").distinct())
+    e = checkpoint(e.mapInArrow(_local, "u long, v long"))
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     before = mark(e)
-    while before[0]:
+    if before[0] <= LOCAL_LINKS:
+        return e.coalesce(1).mapInArrow(_stars, "vertex long, component long")
+    while True:
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

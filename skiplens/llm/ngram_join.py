@@ -394,13 +394,15 @@ def _blocks(large: DataFrame) -> DataFrame:
     return large.select("vertex", "component", at).select("vertex", "component", F.xxhash64("component", "at").alias("task"), F.lit(True).alias("rest"))
 
 
-def _remaining(large: DataFrame, linked: DataFrame) -> DataFrame:
-    """Tasks for the rows outside the largest component found so far in their group: they meet all rows of the group."""
+def _remaining(large: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """Tasks for the rows outside the largest component found so far in their group: they meet all rows of the group; None if no row is."""
     linked = linked.select("vertex", F.col("component").alias("class"))
-    rows = large.join(linked, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
+    rows = checkpoint(large.join(linked, "vertex", "left").withColumn("class", F.coalesce("class", "vertex")))
     largest = rows.groupBy("component", "class").agg(F.count("*").alias("size")).groupBy("component").agg(F.max(F.struct("size", "class"))["class"].alias("largest"), F.sum("size").alias("all"), F.max("size").alias("size"))
-    largest = largest.where(F.col("all") > F.col("size")).withColumn("parts", F.ceil((F.col("all") - F.col("size")) / GROUP_ROWS).cast("int"))
-    rows = rows.join(few(checkpoint(largest)), "component")
+    largest = checkpoint(largest.where(F.col("all") > F.col("size")).withColumn("parts", F.ceil((F.col("all") - F.col("size")) / GROUP_ROWS).cast("int")))
+    if largest.isEmpty():
+        return None
+    rows = rows.join(few(largest), "component")
     part = F.pmod(F.xxhash64("vertex", F.lit("part")), F.col("parts")).cast("int")
     outside = rows.where(F.col("class") != F.col("largest")).select("vertex", "component", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(True).alias("rest"))
     others = rows.select("vertex", "component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "shard", F.lit(False).alias("rest"))
@@ -429,17 +431,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = checkpoint(shared.groupBy("key").applyInArrow(lean(_survivors(blocks, percent)), _ROWS))
     sets = rows.where("columns IS NOT NULL").select("n", "mark", "columns", "frequencies")
     meet = sets.mapInArrow(_candidates(bits, blocks, percent), PACKED).groupBy("key").applyInArrow(lean(_meet(bits)), "a long, b long")
-    groups = checkpoint(connected_components(meet))
+    groups = connected_components(meet)
     sizes = groups.groupBy("component").agg(F.count("*").alias("rows"))
-    groups = groups.join(sizes, "component").withColumn("shards", F.ceil(F.col("rows") / GROUP_ROWS).cast("int"))
+    groups = checkpoint(groups.join(sizes, "component").withColumn("shards", F.ceil(F.col("rows") / GROUP_ROWS).cast("int")))
     total, most = groups.agg(F.count("*"), F.coalesce(F.max("shards"), F.lit(0))).first()
     verified = lambda tasks: _verified(sets, tasks, percent)
     small = groups.where("shards = 1").select("vertex", "component", F.pmod(F.xxhash64("component"), F.lit(max(32, total // GROUP_ROWS))).alias("task"), F.lit(True).alias("rest"))
-    links = verified(small)
     if most > 1:
-        large = checkpoint(groups.where("shards > 1").withColumn("shard", F.pmod(F.xxhash64("vertex"), F.col("shards")).cast("int")))
-        links = checkpoint(links.union(verified(_blocks(large))))
-        links = links.union(verified(_remaining(large, connected_components(links))))
+        large = groups.where("shards > 1").withColumn("shard", F.pmod(F.xxhash64("vertex"), F.col("shards")).cast("int"))
+        links = checkpoint(verified(small.unionByName(_blocks(large))))
+        if (tasks := _remaining(large, connected_components(links))) is not None:
+            links = links.union(verified(tasks))
+    else:
+        links = verified(small)
     linked = connected_components(links).select(F.col("vertex").alias("mark"), "component")
     docs_ = rows.where("columns IS NULL").select("doc_id", "n", "mark", "tag")
     classes = docs_.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

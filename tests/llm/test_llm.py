@@ -118,6 +118,62 @@ def test_ngram_join_of_large_groups(spark, monkeypatch, hubs):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: name.get(i, i) for i in range(len(sets))}
 
 
+def _stages(spark, group, run):
+    """What run() returns, and the number of stages that its jobs have."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    return out, len({k for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds})
+
+
+@pytest.mark.parametrize("local", [1_000_000, 20])
+def test_connected_components(spark, monkeypatch, local):
+    """A chain, a star and pairs, by one task and by rounds; nulls, loops and repeated links change nothing, few links take few stages."""
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
+    rng = random.Random(3)
+    ids = rng.sample(range(-(10**12), 10**12), 300)
+    links = [(ids[i], ids[i + 1]) for i in range(99)] + [(ids[100], ids[i]) for i in range(101, 200)] + [(ids[i], ids[i + 1]) for i in range(200, 280, 2)]
+    links = [x[:: rng.choice((1, -1))] for x in rng.sample(links, len(links))]
+    want = dict(zip(*(v.tolist() for v in components.forest(*np.array(links).T)), strict=True))
+    want |= {v: v for v in want.values()}
+    assert len(set(want.values())) == 42
+    rows = links + [(None, ids[0]), (ids[290], None), (None, None), (ids[291], ids[291]), links[0], links[1][::-1]]
+    got, stages = _stages(spark, f"components {local}", lambda: components.connected_components(spark.createDataFrame(rows, "a long, b long").repartition(7)).collect())
+    assert len(got) == len(want) and {r["vertex"]: r["component"] for r in got} == want
+    assert stages <= 8 or local < len(links)
+    assert components.connected_components(spark.createDataFrame(rows[-6:-2], "a long, b long")).collect() == []
+
+
+def test_links_of_a_task_are_merged_in_parts(monkeypatch):
+    monkeypatch.setattr(components, "LOCAL_LINKS", 30)
+    rng = np.random.default_rng(2)
+    links = rng.integers(0, 120, (100, 2))
+    parts = list(components._local(pa.RecordBatch.from_arrays([pa.array(x) for x in part.T.copy()], names=["u", "v"]) for part in np.split(links, [0, 13, 55, 60, 90])))
+    assert len(parts) == 3
+    (got,) = components._stars(iter(parts))
+    vertex, low = components.forest(*links.T)
+    assert dict(zip(got["vertex"].to_pylist(), got["component"].to_pylist(), strict=True)) == dict(zip(vertex.tolist(), low.tolist(), strict=True)) | {x: x for x in low.tolist()}
+
+
+@pytest.mark.parametrize("chain", [0, 30])
+def test_ngram_join_of_large_groups_takes_few_stages(spark, monkeypatch, chain):
+    """A large group with and without rows that its blocks leave outside its largest component."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 9)
+    monkeypatch.setattr(ngram_join, "HUBS", 100 if not chain else 1)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*words[:60], f"end{i}"]) for i in range(40)] + [" ".join(words[60 + 2 * i : 120 + 2 * i]) for i in range(chain)]
+    ran = []
+    monkeypatch.setattr(ngram_join, "_remaining", lambda *a, f=ngram_join._remaining: ran.append(f(*a)) or ran[-1])
+    got, stages = _stages(spark, f"large groups {chain}", lambda: ngram_join.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: 0 if i < 40 else 40 for i in range(len(texts))}
+    assert len(ran) == 1 and (ran[0] is None) == (not chain)
+    assert stages <= 100
+
+
 def test_group_links_are_complete():
     """Spanning links against all pairs, on chains and clusters."""
     rng = np.random.default_rng(1)
